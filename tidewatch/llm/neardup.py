@@ -3,11 +3,11 @@
 Records of one group (sku) with the same text are one class; only classes are compared. A class's words are hashed to
 positions of a universe (the first permutation); the second permutation, shifted circularly by k, gives the k-th signature
 coordinate as its least value over the words. Two permutations thus serve all coordinates: a word contributes a
-contiguous slice of the second one. ``ROWS`` coordinates make a band and classes that share a band are candidates; 64
+contiguous slice of the second one. ``ROWS`` coordinates make a band and classes that share a band are candidates; 128
 further coordinates give one bit each, and a candidate pair whose bits differ in more than ``DIFFER`` places is dropped
 within the join. What remains is verified exactly on the words.
 
-Reach at the threshold 0.7: a pair shares a band with 1 - (1 - 0.7^5)^32 = 0.997 and passes the bits with 0.9995; at 0.75
+Reach at the threshold 0.7: a pair shares a band with 1 - (1 - 0.7^5)^32 = 0.997 and passes the bits with 0.9996; at 0.75
 both are above 0.9999.
 """
 
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.session import checkpointed
 
-BANDS, ROWS, BITS, DIFFER = 32, 5, 64, 19
+BANDS, ROWS, BITS, DIFFER = 32, 5, 128, 33
 COORDINATES = BANDS * ROWS + BITS
 UNIVERSE = 1 << 20
 MIN_WORDS, NUMERATOR, DENOMINATOR = 30, 7, 10
@@ -70,9 +70,9 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 key ^= key >> np.uint64(29)
                 key *= np.uint64(0xBF58476D1CE4E5B9)
                 key ^= key >> np.uint64(32)
-                bits = np.packbits((sig[:, BANDS * ROWS :] & 1).astype(np.uint8), axis=1).view(np.int64)[:, 0]
-                out = [pa.array(key.view(np.int64).ravel()), pa.array(np.repeat(ids[lo : lo + n], BANDS)), pa.array(np.repeat(bits, BANDS))]
-                yield pa.RecordBatch.from_arrays(out, names=["key", "c", "bits"])
+                bits = np.packbits((sig[:, BANDS * ROWS :] & 1).astype(np.uint8), axis=1).view(np.int64)
+                out = [pa.array(key.view(np.int64).ravel()), *[pa.array(np.repeat(x, BANDS)) for x in (ids[lo : lo + n], bits[:, 0], bits[:, 1])]]
+                yield pa.RecordBatch.from_arrays(out, names=["key", "c", "b0", "b1"])
 
 
 def _words(c: str):
@@ -89,10 +89,11 @@ def classes(df: DataFrame, rid: str = "review_id", group: str = "sku", text: str
 def class_links(cls: DataFrame) -> DataFrame:
     """``(ca, ca2, cb, cb2)``: pairs of classes of one sku whose words overlap by at least the threshold."""
     reps = cls.select("c", "c2", "sku", "text").distinct()
-    keys = reps.select("c", F.xxhash64("sku").alias("g"), "text").mapInArrow(_bands, "key bigint, c bigint, bits bigint")
-    a, b = keys.select("key", F.col("c").alias("ca"), F.col("bits").alias("ba")), keys.select("key", F.col("c").alias("cb"), F.col("bits").alias("bb"))
-    near = F.bit_count(F.col("ba").bitwiseXOR(F.col("bb"))) <= DIFFER
+    keys = reps.select("c", F.xxhash64("sku").alias("g"), "text").mapInArrow(_bands, "key bigint, c bigint, b0 bigint, b1 bigint")
+    a, b = (keys.select("key", F.col("c").alias(f"c{x}"), F.col("b0").alias(f"{x}0"), F.col("b1").alias(f"{x}1")) for x in "ab")
+    near = F.bit_count(F.col("a0").bitwiseXOR(F.col("b0"))) + F.bit_count(F.col("a1").bitwiseXOR(F.col("b1"))) <= DIFFER
     pairs = a.join(b.hint("merge"), "key").where((F.col("ca") < F.col("cb")) & near).select("ca", "cb").distinct()
+    reps = reps.repartition("c")  # one exchange for both sides
     ta = reps.select(F.col("c").alias("ca"), F.col("c2").alias("ca2"), F.col("sku").alias("sa"), F.col("text").alias("ta"))
     tb = reps.select(F.col("c").alias("cb"), F.col("c2").alias("cb2"), F.col("sku").alias("sb"), F.col("text").alias("tb"))
     both = pairs.join(ta, "ca").join(tb, "cb").where("sa = sb")
