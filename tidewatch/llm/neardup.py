@@ -72,7 +72,7 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 key ^= key >> np.uint64(32)
                 bits = np.packbits((sig[:, BANDS * ROWS :] & 1).astype(np.uint8), axis=1).view(np.int64)
                 out = [pa.array(key.view(np.int64).ravel()), *[pa.array(np.repeat(x, BANDS)) for x in (ids[lo : lo + n], bits[:, 0], bits[:, 1])]]
-                yield pa.RecordBatch.from_arrays(out, names=["key", "c", "b0", "b1"])
+                yield pa.RecordBatch.from_arrays(out, names=["key", "c", "s0", "s1"])
 
 
 def _words(c: str):
@@ -89,15 +89,17 @@ def classes(df: DataFrame, rid: str = "review_id", group: str = "sku", text: str
 def class_links(cls: DataFrame) -> DataFrame:
     """``(ca, ca2, cb, cb2)``: pairs of classes of one sku whose words overlap by at least the threshold."""
     reps = cls.select("c", "c2", "sku", "text").distinct()
-    keys = reps.select("c", F.xxhash64("sku").alias("g"), "text").mapInArrow(_bands, "key bigint, c bigint, b0 bigint, b1 bigint")
-    a, b = (keys.select("key", F.col("c").alias(f"c{x}"), F.col("b0").alias(f"{x}0"), F.col("b1").alias(f"{x}1")) for x in "ab")
+    keys = reps.select("c", F.xxhash64("sku").alias("g"), "text").mapInArrow(_bands, "key bigint, c bigint, s0 bigint, s1 bigint")
+    a, b = (keys.select("key", F.col("c").alias(f"c{x}"), F.col("s0").alias(f"{x}0"), F.col("s1").alias(f"{x}1")) for x in "ab")
     near = F.bit_count(F.col("a0").bitwiseXOR(F.col("b0"))) + F.bit_count(F.col("a1").bitwiseXOR(F.col("b1"))) <= DIFFER
     pairs = a.join(b.hint("merge"), "key").where((F.col("ca") < F.col("cb")) & near).select("ca", "cb").distinct()
     reps = reps.repartition("c")  # one exchange for both sides
     ta = reps.select(F.col("c").alias("ca"), F.col("c2").alias("ca2"), F.col("sku").alias("sa"), F.col("text").alias("ta"))
     tb = reps.select(F.col("c").alias("cb"), F.col("c2").alias("cb2"), F.col("sku").alias("sb"), F.col("text").alias("tb"))
-    both = pairs.join(ta, "ca").join(tb, "cb").where("sa = sb")
-    both = both.withColumn("wa", _words("ta")).withColumn("wb", _words("tb")).withColumn("i", F.size(F.array_intersect("wa", "wb")))
+    both = pairs.join(ta, "ca").join(tb, "cb")
+    both = both.withColumn("wa", _words("ta")).withColumn("wb", _words("tb"))
+    # as part of a value, the comparison of skus can't become a join key that would shuffle the texts once more
+    both = both.withColumn("i", F.when(F.col("sa") == F.col("sb"), F.size(F.array_intersect("wa", "wb"))).otherwise(0))
     return both.where(F.col("i") * DENOMINATOR >= NUMERATOR * (F.size("wa") + F.size("wb") - F.col("i"))).select("ca", "ca2", "cb", "cb2")
 
 
