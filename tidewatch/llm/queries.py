@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import mixing, neardup, quantiles, tokens
+from tidewatch.llm import lookalike, mixing, neardup, quantiles, tokens
 from tidewatch.llm.sql import SQL as SQL
 from tidewatch.session import table
 
@@ -31,6 +31,14 @@ def p3_percentiles(spark: SparkSession, d: str) -> DataFrame:
     return quantiles.percentiles(whole, quantiles.QUARTILES)
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return lookalike.alike_pairs(table(spark, d, "clean_reviews"))
+
+
+def p6_forms(spark: SparkSession, d: str) -> DataFrame:
+    return lookalike.unify(table(spark, d, "clean_reviews"))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode(table(spark, d, "documents"))
 
@@ -49,4 +57,4 @@ def p9_report(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix_report(table(spark, d, "documents"), table(spark, d, "mix_targets"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_groups, p3_found, p3_percentiles, p8_ids, p9_found, p9_mixture, p9_report)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_groups, p3_found, p3_percentiles, p6_found, p6_forms, p8_ids, p9_found, p9_mixture, p9_report)}
