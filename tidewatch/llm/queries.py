@@ -5,11 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import lookalike, mixing, neardup, quantiles, tokens
+from tidewatch.llm import lookalike, mixing, neardup, pii, quantiles, tokens
 from tidewatch.llm.sql import SQL as SQL
 from tidewatch.session import table
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return pii.kinds_found(table(spark, d, "clean_reviews"))
+
+
+def p1_masked(spark: SparkSession, d: str) -> DataFrame:
+    return pii.replace_pii(table(spark, d, "clean_reviews"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return neardup.near_pairs(table(spark, d, "clean_reviews"))
 
@@ -57,4 +65,4 @@ def p9_report(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix_report(table(spark, d, "documents"), table(spark, d, "mix_targets"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_groups, p3_found, p3_percentiles, p6_found, p6_forms, p8_ids, p9_found, p9_mixture, p9_report)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_masked, p2_found, p2_groups, p3_found, p3_percentiles, p6_found, p6_forms, p8_ids, p9_found, p9_mixture, p9_report)}
