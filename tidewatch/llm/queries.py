@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import lookalike, mixing, neardup, pii, quantiles, tokens
+from tidewatch.llm import languages, lookalike, mixing, neardup, pii, quantiles, tokens
 from tidewatch.llm.sql import SQL as SQL
 from tidewatch.session import table
 
@@ -65,4 +65,12 @@ def p9_report(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix_report(table(spark, d, "documents"), table(spark, d, "mix_targets"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_masked, p2_found, p2_groups, p3_found, p3_percentiles, p6_found, p6_forms, p8_ids, p9_found, p9_mixture, p9_report)}
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return languages.mislabelled(table(spark, d, "documents"))
+
+
+def p10_segments(spark: SparkSession, d: str) -> DataFrame:
+    return languages.segment(table(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_masked, p2_found, p2_groups, p3_found, p3_percentiles, p6_found, p6_forms, p8_ids, p9_found, p9_mixture, p9_report, p10_found, p10_segments)}
