@@ -25,7 +25,7 @@ from tidewatch.session import checkpointed
 
 CHUNK_ROWS = 100_000
 #: Offsets are broadcast up to this many rows (about 60 bytes each); beyond it they are joined by a shuffle.
-BROADCAST_ROWS = 100_000
+BROADCAST_ROWS = 50_000
 
 
 def _place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.plans import general
+from tidewatch.plans import general, reviews
 
-_MODULES = (general,)
+_MODULES = (reviews, general)
 
 
 def queries() -> dict:
@@ -18,4 +18,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return general.p7_found(spark, sf_dir)
+    return reviews.flagship(spark, sf_dir)
