@@ -99,9 +99,9 @@ def term_burst(reviews: DataFrame, days: int = DAYS, min_count: int = 5, min_use
     span = W.partitionBy("sku", "term").orderBy(F.unix_date("date")).rangeBetween(-(2 * days - 1), -days)
     p = F.coalesce("past", F.lit(0))
     g = both.withColumn("past", F.sum("k").over(span)).where("cur is not null").groupBy("sku", F.col("date").alias("window_end")).agg(F.max((F.col("cur") - p) / F.sqrt(p + 1)).alias("top"))
-    ends_of = reviews.agg(F.min("date").alias("_lo"), F.max("date").alias("_hi"))
+    lo, hi = reviews.agg(F.min("date")).scalar(), reviews.agg(F.max("date")).scalar()
     windows = reviews.select("sku", "date").distinct().select("sku", F.explode(F.sequence("date", F.date_add("date", days - 1))).alias("window_end")).distinct()
-    windows = windows.join(F.broadcast(ends_of)).where(F.col("window_end").between(F.date_add("_lo", days - 1), F.col("_hi"))).select("sku", "window_end")
+    windows = windows.where((F.col("window_end") >= F.date_add(lo, days - 1)) & (F.col("window_end") <= hi))
     return windows.join(g, ["sku", "window_end"], "left").select("sku", "window_end", F.greatest(F.coalesce("top", F.lit(0.0)), F.lit(0.0)).alias("term_burst_score"))
 
 

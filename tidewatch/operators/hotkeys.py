@@ -79,8 +79,7 @@ def key_counts(df: DataFrame, key: str, chunk_rows: int = CHUNK_ROWS) -> DataFra
     rows = numbered(df, key).withColumn("_chunk", F.floor(F.col("_n") / chunk_rows))
     chunks = rows.groupBy("_key", "_chunk").agg(F.count("*").alias("_rows"))
     keys = chunks.groupBy("_key").agg(F.sum("_rows").alias("n"), F.count("*").alias("n_chunks"))
-    total = keys.agg(F.sum("n").alias("_total"))
-    return keys.crossJoin(F.broadcast(total)).select(F.col("_key").alias(key), "n", (F.col("n") / F.col("_total")).alias("share"), "n_chunks")
+    return keys.select(F.col("_key").alias(key), "n", (F.col("n") / keys.agg(F.sum("n")).scalar()).alias("share"), "n_chunks")
 
 
 def _merge(acc: Column, x: Column) -> Column:

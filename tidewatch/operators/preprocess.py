@@ -61,11 +61,11 @@ def daily_counts(reviews: DataFrame) -> DataFrame:
 def panel(daily: DataFrame) -> DataFrame:
     """One row per (sku, category) and day from the first to the last day of the whole table; days without a row are zeros.
 
-    Repeated rows count once. The calendar is generated per sku from two literals in the plan; there is no join with days.
+    Repeated rows count once. The calendar is generated per sku between two scalar subqueries; there is no join with days.
     """
     d = daily.select("sku", "category", "date", *COUNTS).groupBy("sku", "category", "date").agg(*[F.max(c).alias(c) for c in COUNTS])
-    ends = d.agg(F.min("date").alias("_lo"), F.max("date").alias("_hi"))
-    grid = d.select("sku", "category").distinct().join(F.broadcast(ends)).select("sku", "category", F.explode(F.sequence("_lo", "_hi")).alias("date"))
+    lo, hi = daily.agg(F.min("date")).scalar(), daily.agg(F.max("date")).scalar()
+    grid = d.select("sku", "category").distinct().select("sku", "category", F.explode(F.sequence(lo, hi)).alias("date"))
     return grid.join(d, ["sku", "category", "date"], "left").na.fill(0, list(COUNTS))
 
 
@@ -87,6 +87,6 @@ def funnel(reviews: DataFrame) -> DataFrame:
     counts = [reviews.agg(F.count("*").alias("n")), one.agg(F.count("*").alias("n")), kept.agg(F.count("*").alias("n")), flagged.where("not is_spam").agg(F.count("*").alias("n"))]
     out = None
     for step, a, b in (("repeated", 0, 1), ("duplicates", 1, 2), ("spam", 2, 3)):
-        row = counts[a].select(F.col("n").alias("rows_in")).join(counts[b].select(F.col("n").alias("rows_out"))).select(F.lit(step).alias("step"), "rows_in", "rows_out")
+        row = counts[a].select(F.lit(step).alias("step"), F.col("n").alias("rows_in"), counts[b].scalar().alias("rows_out"))
         out = row if out is None else out.unionByName(row)
     return out

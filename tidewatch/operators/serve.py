@@ -31,9 +31,9 @@ def level_since(alerts: DataFrame, step: int = 1) -> DataFrame:
 
 def new_high(alerts: DataFrame, as_of: Column | None = None, days: int = 7) -> DataFrame:
     """Skus that are HIGH now and whose alert before the first HIGH of the last ``days`` days was not HIGH, or does not exist."""
-    end = alerts.agg(F.max("window_end").alias("_end")) if as_of is None else alerts.sparkSession.range(1).select(as_of.alias("_end"))
+    end = alerts.agg(F.max("window_end")).scalar() if as_of is None else as_of
     w = W.partitionBy("sku").orderBy("window_end")
-    a = alerts.join(F.broadcast(end)).where("window_end <= _end").withColumn("_before", F.lag("level").over(w))
+    a = alerts.withColumn("_end", end).where("window_end <= _end").withColumn("_before", F.lag("level").over(w))
     recent = (F.col("level") == "HIGH") & (F.col("window_end") > F.date_sub("_end", days))
     g = a.groupBy("sku").agg(F.max_by("level", "window_end").alias("_now"), F.min_by(F.struct(F.coalesce("_before", F.lit("")).alias("b")), F.when(recent, F.col("window_end"))).alias("_b"), F.count_if(recent).alias("_k"))
     return g.where((F.col("_now") == "HIGH") & (F.col("_k") > 0) & (F.col("_b.b") != "HIGH")).select("sku")
@@ -58,8 +58,7 @@ def level_trend(alerts: DataFrame) -> DataFrame:
 
 def overview(reviews: DataFrame, days: int = 7) -> DataFrame:
     """Per sku the last ``days`` days of the table against those before: reviews, mean rating, low ratings, change of their share. One aggregation."""
-    end = reviews.agg(F.max("date").alias("_end"))
-    r = reviews.join(F.broadcast(end)).withColumn("_ago", F.datediff("_end", "date")).where(F.col("_ago") < 2 * days).withColumn("_low", (F.col("rating") <= 2).cast("int"))
+    r = reviews.withColumn("_ago", F.datediff(reviews.agg(F.max("date")).scalar(), "date")).where(F.col("_ago") < 2 * days).withColumn("_low", (F.col("rating") <= 2).cast("int"))
     now, before = F.col("_ago") < days, F.col("_ago") >= days
     return r.groupBy("sku").agg(
         F.count_if(now).alias("reviews"), F.count_if(before).alias("reviews_before"), F.avg(F.when(now, F.col("rating").cast("int"))).alias("avg_rating"), F.avg(F.when(now, F.col("_low"))).alias("low_share"),
