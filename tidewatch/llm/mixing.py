@@ -68,11 +68,11 @@ def mix_plan(counts: DataFrame, targets: DataFrame) -> DataFrame:
     t = targets.where("source is not null").groupBy("source").agg(F.max(F.struct(F.coalesce(F.col("target_share"), F.lit(0.0)).alias("target_share"), F.coalesce(F.col("max_repeats"), F.lit(0)).alias("max_repeats"))).alias("t")).select("source", "t.*")
     sums = counts.where("source is not null").groupBy("source").agg(F.sum("n_tokens").alias("tokens"))
     plan = t.join(sums, "source", "left").withColumn("tokens", F.coalesce("tokens", F.lit(0)))
-    total = plan.agg(F.sum("tokens").alias("_total"))
-    plan = plan.crossJoin(F.broadcast(total)).withColumn("wanted_tokens", F.col("target_share") * F.col("_total"))
+    total = plan.agg(F.coalesce(F.sum("tokens"), F.lit(0))).scalar()
+    plan = plan.withColumn("wanted_tokens", F.col("target_share") * total)
     plan = plan.withColumn("rate", F.when(F.col("tokens") > 0, F.col("wanted_tokens") / F.col("tokens")).otherwise(F.lit(0.0)))
     plan = plan.withColumn("capped", F.col("tokens") * F.col("max_repeats") < F.col("wanted_tokens"))
-    return plan.withColumn("cuts", _thresholds("rate", "max_repeats")).drop("_total")
+    return plan.withColumn("cuts", _thresholds("rate", "max_repeats"))
 
 
 def _copies(rows: DataFrame, plan: DataFrame, identity: list[str], seed: int) -> DataFrame:
@@ -111,6 +111,7 @@ def mix_report(documents: DataFrame, targets: DataFrame, seed: int = 0, folder:
     docs = _copies(counts.withColumn("_id", F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), plan, ["_id"], seed)
     used = docs.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("_copies")).alias("mixed_tokens"))
     out = plan.join(used, "source", "left").withColumn("mixed_tokens", F.coalesce("mixed_tokens", F.lit(0)))
-    total = out.agg(F.sum("mixed_tokens").alias("_total"))
-    share = F.when(F.col("_total") > 0, F.col("mixed_tokens") / F.col("_total")).otherwise(F.lit(0.0))
-    return out.crossJoin(F.broadcast(total)).select("source", "target_share", "max_repeats", "tokens", "rate", "capped", "mixed_tokens", share.alias("actual_share"))
+    out = checkpointed(out)
+    total = out.agg(F.sum("mixed_tokens")).scalar()
+    share = F.coalesce(F.try_divide(F.col("mixed_tokens"), total), F.lit(0.0))
+    return out.select("source", "target_share", "max_repeats", "tokens", "rate", "capped", "mixed_tokens", share.alias("actual_share"))

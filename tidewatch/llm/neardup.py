@@ -29,7 +29,7 @@ UNIVERSE = 1 << 20
 MIN_WORDS, NUMERATOR, DENOMINATOR = 30, 7, 10
 #: Classes of up to this many copies come out as all their pairs; beyond it each copy is linked to the class's first record, which stands for it.
 COPIES = 200
-_STEP = 256
+_STEP, _BLOCK = 256, 1 << 14
 
 
 def slices(seed: int = 20) -> np.ndarray:
@@ -40,7 +40,8 @@ def slices(seed: int = 20) -> np.ndarray:
 
 def signatures(texts: list[str], rows: np.ndarray, places: dict[str, int]) -> np.ndarray:
     """Signatures (texts x COORDINATES) of the sets of words at single spaces."""
-    flat, starts = [], []
+    flat: list[int] = []
+    starts = []
     for t in texts:
         starts.append(len(flat))
         for w in set(t.split(" ")):
@@ -50,7 +51,14 @@ def signatures(texts: list[str], rows: np.ndarray, places: dict[str, int]) -> np
                     places.clear()
                 p = places[w] = xxhash.xxh64_intdigest(w) % UNIVERSE
             flat.append(p)
-    return np.minimum.reduceat(rows[np.array(flat)], np.array(starts), axis=0)
+    at, first = np.array(flat), np.array(starts)
+    out = np.full((len(texts), rows.shape[1]), UNIVERSE, np.uint32)
+    for lo in range(0, len(at), _BLOCK):  # memory stays the same for texts of any length
+        hi = min(lo + _BLOCK, len(at))
+        a, b = np.searchsorted(first, lo, "right") - 1, np.searchsorted(first, hi, "left")
+        part = np.minimum.reduceat(rows[at[lo:hi]], np.maximum(first[a:b] - lo, 0), axis=0)
+        np.minimum(out[a:b], part, out=out[a:b])
+    return out
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
