@@ -487,7 +487,8 @@ def evidence_topk(s, d):
     return serve.evidence(_alerts(s, d), r)
 
 
-@query()
+@query(f"""WITH {C} SELECT review_id, trim(regexp_replace(regexp_replace(regexp_replace(coalesce(text_raw, ''), '{text.MASKS[0][0]}', '[EMAIL]', 'g'), '{text.MASKS[1][0]}', '[PHONE]', 'g'), '{text.MASKS[2][0]}', '[URL]', 'g')) AS masked,
+array_to_string(regexp_split_to_array(trim(lower(text_raw)), '\\s+')[1:15], ' ') AS opening FROM clean""")
 def pii_mask(s, d):
     return _reviews(s, d).select("review_id", text.mask(F.col("text_raw")).alias("masked"), text.short_key(F.col("text_raw")).alias("opening"))
 
@@ -502,21 +503,26 @@ def latest_alert(s, d):
     return serve.latest(_alerts(s, d)).select("sku", _day("window_end"), "level", F.round("score", 6).alias("score"))
 
 
-@query(hysteresis_sql(PERSIST, """, a1 AS (SELECT sku, window_end, level, CASE WHEN lag(level) OVER w = level AND datediff('day', lag(window_end) OVER w, window_end) = 1 THEN 0 ELSE 1 END AS o FROM al WINDOW w AS (PARTITION BY sku ORDER BY window_end)),
-a2 AS (SELECT *, sum(o) OVER (PARTITION BY sku ORDER BY window_end) AS run FROM a1), a3 AS (SELECT sku, run, any_value(level) AS level, min(window_end) AS since, count(*) AS windows, row_number() OVER (PARTITION BY sku ORDER BY run DESC) AS r FROM a2 GROUP BY sku, run)
-SELECT sku, level, strftime(since, '%Y-%m-%d') AS since, windows FROM a3 WHERE r = 1"""))
+_SINCE = """a1 AS (SELECT sku, window_end, level, CASE WHEN lag(level) OVER w = level AND datediff('day', lag(window_end) OVER w, window_end) = 1 THEN 0 ELSE 1 END AS o FROM al WINDOW w AS (PARTITION BY sku ORDER BY window_end)),
+a2 AS (SELECT *, sum(o) OVER (PARTITION BY sku ORDER BY window_end) AS run FROM a1), a3 AS (SELECT sku, run, any_value(level) AS level, min(window_end) AS since, count(*) AS windows, row_number() OVER (PARTITION BY sku ORDER BY run DESC) AS r FROM a2 GROUP BY sku, run)"""
+
+
+@query(hysteresis_sql(PERSIST, f", {_SINCE} SELECT sku, level, strftime(since, '%Y-%m-%d') AS since, windows FROM a3 WHERE r = 1"))
 def level_since(s, d):
     return serve.level_since(_alerts(s, d))
 
 
-@query()
+@query(hysteresis_sql(PERSIST, """, e AS (SELECT max(window_end) AS hi FROM al), n1 AS (SELECT sku, window_end, level, lag(level) OVER (PARTITION BY sku ORDER BY window_end) AS before, level = 'HIGH' AND window_end > hi - 7 AS recent FROM al, e),
+n2 AS (SELECT sku, arg_max(level, window_end) AS now, arg_min(coalesce(before, ''), window_end) FILTER (recent) AS b, count(*) FILTER (recent) AS k FROM n1 GROUP BY sku) SELECT sku FROM n2 WHERE now = 'HIGH' AND k > 0 AND b <> 'HIGH'"""))
 def new_high_7d(s, d):
     return serve.new_high(_alerts(s, d))
 
 
-@query()
+@query(hysteresis_sql(PERSIST, f""", {_SINCE}, ll AS (SELECT *, row_number() OVER (PARTITION BY sku ORDER BY window_end DESC) AS r FROM al)
+SELECT ll.sku, ll.level, round(ll.score, 6) AS score, CAST(list_contains(nums, 8) AS INTEGER) AS has_i8, strftime(a3.since, '%Y-%m-%d') AS since, a3.windows FROM ll JOIN a3 ON ll.sku = a3.sku WHERE ll.r = 1 AND a3.r = 1
+ORDER BY ll.level = 'HIGH' DESC, ll.score DESC, has_i8 DESC, ll.sku LIMIT 50"""))
 def priority_table(s, d):
-    return serve.priority_table(_alerts(s, d))
+    return serve.priority_table(_alerts(s, d)).withColumn("score", F.round("score", 6))
 
 
 @query(f"""WITH {C}, e AS (SELECT max(date) AS hi FROM clean), r AS (SELECT sku, rating, CASE WHEN rating <= 2 THEN 1.0 ELSE 0.0 END AS low, datediff('day', date, hi) AS ago FROM clean, e WHERE datediff('day', date, hi) < 14)
