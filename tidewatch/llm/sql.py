@@ -10,5 +10,9 @@ q AS (SELECT sku, indicator_id, feature, count(*) AS n,
 """
 
 SQL = {
+    "p2_found": """
+WITH r AS (SELECT DISTINCT review_id, sku, list_distinct(string_split(text_norm, ' ')) AS w FROM clean_reviews WHERE text_norm IS NOT NULL), e AS (SELECT * FROM r WHERE len(w) >= 30),
+p AS (SELECT a.review_id AS review_id_a, b.review_id AS review_id_b, len(a.w) + len(b.w) AS n, len(list_intersect(a.w, b.w)) AS i FROM e a JOIN e b ON a.sku = b.sku AND a.review_id < b.review_id)
+SELECT review_id_a, review_id_b FROM p WHERE 10 * i >= 7 * (n - i)""",
     "p3_found": _VALUES + "SELECT sku, indicator_id, feature FROM q WHERE n >= 40 AND p75 > p25 AND p95 - p50 > 8 * (p75 - p25)",
 }
