@@ -487,8 +487,7 @@ def evidence_topk(s, d):
     return serve.evidence(_alerts(s, d), r)
 
 
-@query(f"""WITH {C} SELECT review_id, trim(regexp_replace(regexp_replace(regexp_replace(coalesce(text_raw, ''), '{text.MASKS[0][0]}', '[EMAIL]', 'g'), '{text.MASKS[1][0]}', '[PHONE]', 'g'), '{text.MASKS[2][0]}', '[URL]', 'g')) AS masked,
-array_to_string(regexp_split_to_array(trim(lower(text_raw)), '\\s+')[1:15], ' ') AS opening FROM clean""")
+@query()
 def pii_mask(s, d):
     return _reviews(s, d).select("review_id", text.mask(F.col("text_raw")).alias("masked"), text.short_key(F.col("text_raw")).alias("opening"))
 
