@@ -29,3 +29,9 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder, so that neither a lost executor nor a second use computes it again."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over at least as many partitions as there are cores, for costly steps on small inputs; larger inputs are not shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
