@@ -23,6 +23,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewatch.llm.lookalike import _IGNORED
+from tidewatch.session import spread
 
 LANGUAGES = ("en", "de", "fr", "es", "it", "pt", "nl")
 #: Other spellings of the languages, lower case.
@@ -283,7 +284,7 @@ def segment(documents: DataFrame, model: Model | None = None) -> DataFrame:
                 kinds = (pa.int32(), pa.string(), pa.float64(), pa.int32(), pa.string())
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(cols[0], pa.int32())), *[pa.array(c, k) for c, k in zip(cols[1:], kinds)]], names=["doc_id", "segment", "lang", "confidence", "sentences", "text"])
 
-    return documents.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, segment int, lang string, confidence double, sentences int, text string")
+    return spread(documents.select(F.col("doc_id").cast("bigint"), "text")).mapInArrow(run, "doc_id bigint, segment int, lang string, confidence double, sentences int, text string")
 
 
 def identify(documents: DataFrame, model: Model | None = None) -> DataFrame:
@@ -306,7 +307,7 @@ def identify(documents: DataFrame, model: Model | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(words, pa.int32()), pa.array(langs, pa.list_(pa.string())), pa.array(conf, pa.list_(pa.float64()))], names=["doc_id", "label", "n_words", "languages", "confidences"])
 
     rows = documents.select(F.col("doc_id").cast("bigint"), label_of(F.col("lang")).alias("label"), "text")
-    return rows.mapInArrow(run, "doc_id bigint, label string, n_words int, languages array<string>, confidences array<double>")
+    return spread(rows).mapInArrow(run, "doc_id bigint, label string, n_words int, languages array<string>, confidences array<double>")
 
 
 def mislabelled(documents: DataFrame, model: Model | None = None) -> DataFrame:

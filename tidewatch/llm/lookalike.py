@@ -19,6 +19,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.session import spread
+
 #: Letters of other scripts, and the Latin letters they look like, in the same order.
 ALIKE = {
     "Cyrillic": ("аеорсухѕіјһԁԛԝѵӏАВЕІЈКМНОРСТУХЅԚԜ", "aeopcyxsijhdqwvlABEIJKMHOPCTYXSQW"),
@@ -145,7 +147,7 @@ def unify(df: DataFrame, columns: tuple[str, ...] = ("text_raw", "text_norm"), k
             done = [pa.array([None if t is None else f.form(t) for t in c.to_pylist()], pa.string()) for c in b.columns[k:]]
             yield pa.RecordBatch.from_arrays([*b.columns[:k], *done], names=b.schema.names)
 
-    return rows.mapInArrow(run, ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in rows.schema))
+    return spread(rows).mapInArrow(run, ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in rows.schema))
 
 
 def _keys(fields: tuple[str, ...]):
@@ -175,7 +177,7 @@ def alike_pairs(df: DataFrame, fields: tuple[str, ...] = ("text_raw", "text_norm
     more than ``PAIRS`` pairs of copies come out as all copies of each with the first of the other.
     """
     rows = df.select(F.col("review_id").cast("string").alias("rid"), F.col("sku").cast("string").alias("sku"), *fields).where("rid is not null and sku is not null")
-    rows = rows.mapInArrow(_keys(fields), "f tinyint, rid string, h1 bigint, h2 bigint, raw bigint")
+    rows = spread(rows).mapInArrow(_keys(fields), "f tinyint, rid string, h1 bigint, h2 bigint, raw bigint")
     h = ["f", "h1", "h2"]
     varied = rows.groupBy(*h).agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")).where("lo <> hi").select(*h)
     m = rows.join(varied, h, "left_semi").distinct()

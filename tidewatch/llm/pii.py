@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.llm.lookalike import _IGNORED, _TABLE
 from tidewatch.llm.pii_labels import KINDS, examples
+from tidewatch.session import spread
 
 LABELS = ["O", *[f"{b}-{k}" for k in KINDS for b in "BI"]]
 N = len(LABELS)
@@ -325,7 +326,7 @@ def replace_pii(df: DataFrame, text: str = "text_raw", keep: tuple[str, ...] = (
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], masked, kinds], names=[*b.schema.names[:-1], "text_masked", "kinds"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[:-1])
-    return rows.mapInArrow(run, f"{kinds}, text_masked string, kinds array<string>")
+    return spread(rows).mapInArrow(run, f"{kinds}, text_masked string, kinds array<string>")
 
 
 def kinds_found(df: DataFrame, text: str = "text_raw", rid: str = "review_id", model: Field | None = None) -> DataFrame:
@@ -340,4 +341,4 @@ def kinds_found(df: DataFrame, text: str = "text_raw", rid: str = "review_id", m
             at = [(i, k) for i, s in enumerate(spans) for k in {k for _, _, k in s}]
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([i for i, _ in at], pa.int32())), pa.array([k for _, k in at], pa.string())], names=["review_id", "kind"])
 
-    return rows.mapInArrow(run, "review_id string, kind string").distinct()
+    return spread(rows).mapInArrow(run, "review_id string, kind string").distinct()

@@ -24,6 +24,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.session import spread
+
 FOLDER = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k"
 #: Fixed value: the split pattern that belongs to the vocabulary.
@@ -238,7 +240,7 @@ def encode(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",
             ids = pa.array([e.encode(t) if t else [] for t in b.column(b.num_columns - 1).to_pylist()], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], ids], names=[*b.schema.names[:-1], "ids"])
 
-    return rows.mapInArrow(run, f"{kinds}, ids array<int>")
+    return spread(rows).mapInArrow(run, f"{kinds}, ids array<int>")
 
 
 def token_counts(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), folder: str = FOLDER, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -252,4 +254,4 @@ def token_counts(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("do
             n = pa.array([len(e.encode(t)) if t else 0 for t in b.column(b.num_columns - 1).to_pylist()], pa.int32())
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], n], names=[*b.schema.names[:-1], "n_tokens"])
 
-    return rows.mapInArrow(run, f"{kinds}, n_tokens int")
+    return spread(rows).mapInArrow(run, f"{kinds}, n_tokens int")
