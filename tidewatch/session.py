@@ -32,6 +32,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` over at least as many partitions as there are cores, for costly steps on small inputs; larger inputs are not shuffled."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    """``df`` over at least as many partitions as there are cores, for costly steps on small inputs; larger inputs are not shuffled.
+
+    Only plain scans are looked at: a plan with exchanges is partitioned by them, and to ask it would run it.
+    """
+    q, cores = df._jdf.queryExecution(), df.sparkSession.sparkContext.defaultParallelism
+    if q.executedPlan().nodeName() == "AdaptiveSparkPlan" or q.toRdd().getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
