@@ -39,17 +39,20 @@ def _features(s: SparkSession, d: str) -> DataFrame:
     return detect.clean_features(table(s, d, "feature_series"))
 
 
-#: Indicators whose every step SQL can express.
+#: Indicators whose every step SQL can express; only the queries held against SQL stop at these.
 PLAIN = ("I2", "I4", "I6", "I7", "I8", "I9", "I10", "I11")
 
 
-def _matrix(s: SparkSession, d: str) -> DataFrame:
-    return detect.indicator_matrix(_features(s, d), PLAIN)
+def _matrix(s: SparkSession, d: str, only: tuple[str, ...] | None = None) -> DataFrame:
+    """All eleven are kept in the checkpoint folder, features and result, as in one plan they take much of the driver's memory."""
+    if only:
+        return detect.indicator_matrix(_features(s, d), only)
+    return checkpointed(detect.indicator_matrix(checkpointed(_features(s, d))))
 
 
-def _alerts(s: SparkSession, d: str) -> DataFrame:
+def _alerts(s: SparkSession, d: str, only: tuple[str, ...] | None = None) -> DataFrame:
     """Kept in the checkpoint folder, as several branches of a query read it."""
-    return checkpointed(score.alerts(_matrix(s, d), ALERT_TAU))
+    return checkpointed(score.alerts(_matrix(s, d, only), ALERT_TAU))
 
 
 def _labels(s: SparkSession, d: str) -> DataFrame:
@@ -363,8 +366,8 @@ SCORES = f"""{MATRIX}, sc AS (SELECT sku, category, window_end, coalesce(sum(CAS
 
 
 @query(f"WITH {SCORES} SELECT sku, strftime(window_end, '%Y-%m-%d') AS window_end, round(score, 6) AS score, array_to_string(groups_active, ',') AS groups_active, array_to_string(nums, ',') AS ids, CAST(severe AS INTEGER) AS severe, CAST(verify_flag AS INTEGER) AS verify_flag FROM sc")
-def risk_score(s, d):
-    r = score.scores(_matrix(s, d))
+def risk_score(s, d, only=PLAIN):
+    r = score.scores(_matrix(s, d, only))
     return r.select("sku", _day("window_end"), F.round("score", 6).alias("score"), F.array_join("groups_active", ",").alias("groups_active"), F.replace(F.array_join("triggered_ids", ","), F.lit("I"), F.lit("")).alias("ids"), F.col("severe").cast("int").alias("severe"), F.col("verify_flag").cast("int").alias("verify_flag"))
 
 
@@ -375,8 +378,8 @@ lv AS (SELECT *, CASE WHEN score >= {ALERT_TAU[1]} AND (len(groups_active) >= 3
 
 
 @query(f"WITH {PERSIST} SELECT sku, strftime(window_end, '%Y-%m-%d') AS window_end, CAST(persist AS INTEGER) AS persist, raw FROM lv")
-def persistence(s, d):
-    p = score.with_persistence(score.scores(_matrix(s, d)), ALERT_TAU[0])
+def persistence(s, d, only=PLAIN):
+    p = score.with_persistence(score.scores(_matrix(s, d, only)), ALERT_TAU[0])
     return p.select("sku", _day("window_end"), "persist", score.level_of(F.col("score"), F.col("persist"), F.col("groups_active"), F.col("severe"), *ALERT_TAU).alias("raw"))
 
 
@@ -391,14 +394,14 @@ al AS (SELECT l.sku, l.category, l.window_end, l.score, CASE h.cur WHEN 2 THEN '
 
 
 @query(hysteresis_sql(PERSIST, "SELECT sku, strftime(window_end, '%Y-%m-%d') AS window_end, round(score, 6) AS score, level, array_to_string(groups_active, ',') AS groups_active, CAST(persist AS INTEGER) AS persist, CAST(verify_flag AS INTEGER) AS verify_flag, array_to_string(nums, ',') AS ids FROM al"))
-def alerts(s, d):
-    a = score.alerts(_matrix(s, d), ALERT_TAU)
+def alerts(s, d, only=PLAIN):
+    a = score.alerts(_matrix(s, d, only), ALERT_TAU)
     return a.select("sku", _day("window_end"), F.round("score", 6).alias("score"), "level", F.array_join("groups_active", ",").alias("groups_active"), "persist", F.col("verify_flag").cast("int").alias("verify_flag"), F.replace(F.array_join("triggered_ids", ","), F.lit("I"), F.lit("")).alias("ids"))
 
 
 @query(f"""WITH {SCORES} SELECT category, CASE WHEN count(*) < 200 THEN 0.2 ELSE round(greatest(quantile_cont(score, 0.9), 0.15), 6) END AS tau1, CASE WHEN count(*) < 200 THEN 0.4 ELSE round(greatest(quantile_cont(score, 0.97), 0.35), 6) END AS tau2, count(*) AS n FROM sc GROUP BY category""")
-def tau_percentiles(s, d):
-    return score.calibrate(score.scores(_matrix(s, d))).select("category", F.round("tau1", 6).alias("tau1"), F.round("tau2", 6).alias("tau2"), "n")
+def tau_percentiles(s, d, only=PLAIN):
+    return score.calibrate(score.scores(_matrix(s, d, only))).select("category", F.round("tau1", 6).alias("tau1"), F.round("tau2", 6).alias("tau2"), "n")
 
 
 # ---- evaluation
@@ -415,14 +418,14 @@ MATCHED = """mt AS (SELECT lb.sku, lb.category, lb.recall_id, lb.recall_date, mi
 
 
 @query(hysteresis_sql(f"{PERSIST}, {LABELS}", f", {MATCHED} SELECT sku, recall_id, strftime(recall_date, '%Y-%m-%d') AS recall_date, CAST(k > 0 AS INTEGER) AS detected, strftime(first_alert, '%Y-%m-%d') AS first_alert, k AS alert_count, CAST(datediff('day', first_alert, recall_date) AS DOUBLE) AS lead_time_days FROM mt"))
-def alerts_vs_recalls(s, d):
-    return evaluate.match_alerts(_alerts(s, d), _labels(s, d)).withColumn("lead_time_days", F.col("lead_time_days").cast("double"))
+def alerts_vs_recalls(s, d, only=PLAIN):
+    return evaluate.match_alerts(_alerts(s, d, only), _labels(s, d)).withColumn("lead_time_days", F.col("lead_time_days").cast("double"))
 
 
 @query(hysteresis_sql(f"{PERSIST}, {LABELS}", f""", {MATCHED} SELECT count(*) AS events, count(*) FILTER (k > 0) AS detected, count(*) FILTER (k = 0) AS missed, round(count(*) FILTER (k > 0) / count(*), 6) AS recall,
 round(avg(datediff('day', first_alert, recall_date)), 6) AS mean_lead, CAST(median(datediff('day', first_alert, recall_date)) AS DOUBLE) AS median_lead, CAST(sum(k) AS BIGINT) AS alerts FROM mt"""))
-def eval_summary(s, d):
-    r = evaluate.summary(evaluate.match_alerts(_alerts(s, d), _labels(s, d)))
+def eval_summary(s, d, only=PLAIN):
+    r = evaluate.summary(evaluate.match_alerts(_alerts(s, d, only), _labels(s, d)))
     return r.withColumn("recall", F.round("recall", 6)).withColumn("mean_lead", F.round("mean_lead", 6))
 
 
@@ -430,8 +433,8 @@ def eval_summary(s, d):
 ev AS (SELECT po.policy, lb.sku, lb.recall_id, count(al.window_end) AS k FROM po CROSS JOIN lb LEFT JOIN al ON lb.sku = al.sku AND lb.category = al.category AND al.window_end BETWEEN lb.recall_date - 90 AND lb.recall_date
   AND CASE po.policy WHEN 'medium_or_high' THEN true WHEN 'high_only' THEN al.level = 'HIGH' WHEN 'rating' THEN list_has_any(al.nums, [3, 4, 5, 6]) WHEN 'volume' THEN list_has_any(al.nums, [1, 2]) ELSE list_has_any(al.nums, [7, 8]) END GROUP BY ALL)
 SELECT policy, count(*) AS events, count(*) FILTER (k > 0) AS detected, round(count(*) FILTER (k > 0) / count(*), 6) AS recall, CAST(sum(k) AS BIGINT) AS alerts FROM ev GROUP BY policy"""))
-def policy_baselines(s, d):
-    return evaluate.policy_summary(_alerts(s, d), _labels(s, d)).withColumn("recall", F.round("recall", 6))
+def policy_baselines(s, d, only=PLAIN):
+    return evaluate.policy_summary(_alerts(s, d, only), _labels(s, d)).withColumn("recall", F.round("recall", 6))
 
 
 @query()
@@ -454,7 +457,7 @@ def synthetic_template(s, d):
 @query()
 def synthetic_alerts(s, d):
     """Crises injected into median products, and which indicators fire on them."""
-    m = detect.indicator_matrix(detect.clean_features(evaluate.inject_crises(_features(s, d))), PLAIN)
+    m = detect.indicator_matrix(detect.clean_features(evaluate.inject_crises(_features(s, d))))
     return m.groupBy("category", "sku", "indicator_id").agg(F.count("*").alias("windows"), F.count_if("triggered").alias("fired"))
 
 
@@ -493,13 +496,13 @@ def pii_mask(s, d):
 
 
 @query(hysteresis_sql(PERSIST, "SELECT sku, strftime(window_end, '%Y-%m-%d') AS window_end, CASE WHEN verify_flag THEN 'Victim' WHEN list_contains(nums, 8) THEN 'Preventable' ELSE 'Accidental' END AS cluster, CASE WHEN verify_flag THEN 0.75 WHEN list_contains(nums, 8) THEN 0.9 ELSE 0.7 END::DOUBLE AS confidence FROM al WHERE level = 'HIGH'"))
-def rule_explanation(s, d):
-    return serve.explanation(_alerts(s, d))
+def rule_explanation(s, d, only=PLAIN):
+    return serve.explanation(_alerts(s, d, only))
 
 
 @query(hysteresis_sql(PERSIST, ", ll AS (SELECT *, row_number() OVER (PARTITION BY sku ORDER BY window_end DESC) AS r FROM al) SELECT sku, strftime(window_end, '%Y-%m-%d') AS window_end, level, round(score, 6) AS score FROM ll WHERE r = 1"))
-def latest_alert(s, d):
-    return serve.latest(_alerts(s, d)).select("sku", _day("window_end"), "level", F.round("score", 6).alias("score"))
+def latest_alert(s, d, only=PLAIN):
+    return serve.latest(_alerts(s, d, only)).select("sku", _day("window_end"), "level", F.round("score", 6).alias("score"))
 
 
 _SINCE = """a1 AS (SELECT sku, window_end, level, CASE WHEN lag(level) OVER w = level AND datediff('day', lag(window_end) OVER w, window_end) = 1 THEN 0 ELSE 1 END AS o FROM al WINDOW w AS (PARTITION BY sku ORDER BY window_end)),
@@ -507,21 +510,21 @@ a2 AS (SELECT *, sum(o) OVER (PARTITION BY sku ORDER BY window_end) AS run FROM
 
 
 @query(hysteresis_sql(PERSIST, f", {_SINCE} SELECT sku, level, strftime(since, '%Y-%m-%d') AS since, windows FROM a3 WHERE r = 1"))
-def level_since(s, d):
-    return serve.level_since(_alerts(s, d))
+def level_since(s, d, only=PLAIN):
+    return serve.level_since(_alerts(s, d, only))
 
 
 @query(hysteresis_sql(PERSIST, """, e AS (SELECT max(window_end) AS hi FROM al), n1 AS (SELECT sku, window_end, level, lag(level) OVER (PARTITION BY sku ORDER BY window_end) AS before, level = 'HIGH' AND window_end > hi - 7 AS recent FROM al, e),
 n2 AS (SELECT sku, arg_max(level, window_end) AS now, arg_min(coalesce(before, ''), window_end) FILTER (recent) AS b, count(*) FILTER (recent) AS k FROM n1 GROUP BY sku) SELECT sku FROM n2 WHERE now = 'HIGH' AND k > 0 AND b <> 'HIGH'"""))
-def new_high_7d(s, d):
-    return serve.new_high(_alerts(s, d))
+def new_high_7d(s, d, only=PLAIN):
+    return serve.new_high(_alerts(s, d, only))
 
 
 @query(hysteresis_sql(PERSIST, f""", {_SINCE}, ll AS (SELECT *, row_number() OVER (PARTITION BY sku ORDER BY window_end DESC) AS r FROM al)
 SELECT ll.sku, ll.level, round(ll.score, 6) AS score, CAST(list_contains(nums, 8) AS INTEGER) AS has_i8, strftime(a3.since, '%Y-%m-%d') AS since, a3.windows FROM ll JOIN a3 ON ll.sku = a3.sku WHERE ll.r = 1 AND a3.r = 1
 ORDER BY ll.level = 'HIGH' DESC, ll.score DESC, has_i8 DESC, ll.sku LIMIT 50"""))
-def priority_table(s, d):
-    return serve.priority_table(_alerts(s, d)).withColumn("score", F.round("score", 6))
+def priority_table(s, d, only=PLAIN):
+    return serve.priority_table(_alerts(s, d, only)).withColumn("score", F.round("score", 6))
 
 
 @query(f"""WITH {C}, e AS (SELECT max(date) AS hi FROM clean), r AS (SELECT sku, rating, CASE WHEN rating <= 2 THEN 1.0 ELSE 0.0 END AS low, datediff('day', date, hi) AS ago FROM clean, e WHERE datediff('day', date, hi) < 14)
@@ -532,21 +535,35 @@ def overview_7v14(s, d):
 
 
 @query(hysteresis_sql(PERSIST, "SELECT strftime(window_end, '%Y-%m-%d') AS day, level, count(DISTINCT sku) AS skus FROM al GROUP BY ALL"))
-def level_trend(s, d):
-    return serve.level_trend(_alerts(s, d))
+def level_trend(s, d, only=PLAIN):
+    return serve.level_trend(_alerts(s, d, only))
 
 
 @query(hysteresis_sql(PERSIST, "SELECT category, level, count(*) AS n_alerts, count(DISTINCT sku) AS skus FROM al GROUP BY ROLLUP (category, level)"))
-def rollup_alerts(s, d):
-    return serve.level_rollup(_alerts(s, d))
+def rollup_alerts(s, d, only=PLAIN):
+    return serve.level_rollup(_alerts(s, d, only))
 
 
 @query(f"WITH {MATRIX} SELECT sku, strftime(window_end, '%Y-%m-%d') AS window_end, indicator_id, CAST(triggered AS INTEGER) AS triggered, round(strength, 6) AS strength, round(CASE WHEN triggered THEN CASE indicator_id {_POINTS} ELSE 0 END / 21.0 ELSE 0.0 END, 6) AS contribution FROM mx")
-def indicator_breakdown(s, d):
-    b = serve.breakdown(_matrix(s, d))
+def indicator_breakdown(s, d, only=PLAIN):
+    b = serve.breakdown(_matrix(s, d, only))
     return b.withColumn("strength", F.round("strength", 6)).withColumn("contribution", F.round("contribution", 6))
 
 
+def _whole(f) -> None:
+    """``f`` once more as ``NAME_all``, over all eleven indicators, which SQL can't follow."""
+
+    def run(s, d):
+        return f(s, d, None)
+
+    run.__name__ = f"{f.__name__}_all"
+    query()(run)
+
+
+for _f in (risk_score, persistence, alerts, tau_percentiles, alerts_vs_recalls, eval_summary, policy_baselines, rule_explanation, latest_alert, level_since, new_high_7d, priority_table, level_trend, rollup_alerts, indicator_breakdown):
+    _whole(_f)
+
+
 def flagship(s: SparkSession, d: str) -> DataFrame:
     """The strongest deviations of the shrunk low-star share of a product from its own lagged history."""
     f = features.volume_rating_long(_panel(s, d)).where("feature = 'low_star_ratio_shrunk'")
