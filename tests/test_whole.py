@@ -52,6 +52,19 @@ def test_alerts_of_all_indicators(spark, folder):
     assert {r["indicator_id"] for r in plan.QUERIES["indicator_breakdown_all"](spark, folder).collect()} == {"I1", "I3", "I5"}
 
 
+def test_ablation_keeps_the_alerts_and_their_thresholds(spark, folder):
+    want = brute(plan.QUERIES["indicator_matrix"](spark, folder).collect())
+    got = {r["config"]: (r["n_alerts"], r["n_high"], r["n_skus"]) for r in plan.QUERIES["ablation"](spark, folder).collect()}
+    assert got["full"] == (len(want), 0, 2)
+    # the first alert of a run has no alert before it; rows held up by hysteresis score too little
+    again = sum(1 for (sku, day), v in want.items() if v[0] >= plan.ALERT_TAU[0] and (sku, before(day)) in want and want[sku, before(day)][0] >= plan.ALERT_TAU[0])
+    assert again > 0 and got["without_volume"] == got["only_rating"] == (again, 0, 2) and got["without_rating"] == (0, 0, 0)
+
+
+def before(day):
+    return str(dt.date.fromisoformat(day) - dt.timedelta(days=1))
+
+
 def test_crises_reach_all_indicators(spark, folder):
     fired = {(r["sku"], r["indicator_id"]): r["fired"] for r in plan.QUERIES["synthetic_alerts"](spark, folder).collect()}
     assert fired["volume", "I1"] > 0 and fired["rating", "I5"] > 0 and ("rating", "I3") in fired

@@ -73,12 +73,15 @@ def reclassify(alerts: DataFrame, dropped: tuple[str, ...] = (), tau: tuple[floa
     return a.withColumn("level", name_of(F.col("_lv"))).drop("_lv", "_sev")
 
 
-def ablation(alerts: DataFrame) -> DataFrame:
-    """``(config, n_alerts, n_high, n_skus)`` of all groups, without each, and with each alone."""
+def ablation(alerts: DataFrame, tau: tuple[float, float] = TAU) -> DataFrame:
+    """``(config, n_alerts, n_high, n_skus)`` of all groups (the alerts as they are), without each, and with each alone.
+
+    ``tau`` are the thresholds that the alerts were scored with.
+    """
     names, out = sorted(GROUPS), None
     configs = {"full": ()} | {f"without_{g}": (g,) for g in names} | {f"only_{g}": tuple(x for x in names if x != g) for g in names}
     for name, dropped in configs.items():
-        part = reclassify(alerts, dropped).agg(F.count("*").alias("n_alerts"), F.count_if(F.col("level") == "HIGH").alias("n_high"), F.count_distinct("sku").alias("n_skus")).withColumn("config", F.lit(name))
+        part = (reclassify(alerts, dropped, tau) if dropped else alerts).agg(F.count("*").alias("n_alerts"), F.count_if(F.col("level") == "HIGH").alias("n_high"), F.count_distinct("sku").alias("n_skus")).withColumn("config", F.lit(name))
         out = part if out is None else out.unionByName(part)
     return out.select("config", "n_alerts", "n_high", "n_skus")
 

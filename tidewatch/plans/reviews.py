@@ -439,7 +439,7 @@ def policy_baselines(s, d, only=PLAIN):
 
 @query()
 def ablation(s, d):
-    return evaluate.ablation(_alerts(s, d))
+    return evaluate.ablation(_alerts(s, d), ALERT_TAU)
 
 
 @query()
