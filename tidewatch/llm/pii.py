@@ -11,6 +11,7 @@ Tokens are compared in compatibility form without ignorable characters and look-
 
 from __future__ import annotations
 
+import base64
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -22,16 +23,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.llm.lookalike import _IGNORED, _TABLE
-from tidewatch.llm.pii_labels import KINDS, examples
+from tidewatch.llm.pii_labels import CALLES, KINDS, ROADS, STREETS, WAYS, examples
+from tidewatch.llm.tokens import FOLDER
 from tidewatch.session import spread
 
 LABELS = ["O", *[f"{b}-{k}" for k in KINDS for b in "BI"]]
 N = len(LABELS)
 OFFSETS = (-2, -1, 0, 1, 2)
-_ASCII = re.compile(r"\s*(?:\w+|[^\w\s])", re.ASCII)
-_ANY = regex.compile(r"\s*(?:[\w\p{M}\p{Cf}]+|[^\w\s])")
+#: A number with its single separators is one token, as is a word or a single mark.
+_ASCII = re.compile(r"\s*(?:\+?(?:\(\d+\)[ -]?)?\d+(?:(?:[ \-./]|-? ?\(0\) ?)\d+)*(?![^\W_])|\w+|[^\w\s])", re.ASCII)
+_ANY = regex.compile(r"\s*(?:\p{Cf}*[+＋]?(?:[(（][\p{Nd}\p{Cf}]+[)）][  　-]?)?\p{Nd}[\p{Nd}\p{Cf}]*(?:\p{Cf}*(?:[\s\-./－．／‐‑–]|-? ?\(0\) ?)\p{Cf}*\p{Nd}[\p{Nd}\p{Cf}]*)*(?![\p{L}\p{M}])|[\w\p{M}\p{Cf}]+|[^\w\s])")
 _TYPES = 200_000
 _CHARS = 400_000
+_RARE = 4
+#: What a token outside of any kind is worth less in decoding: a missed name does more harm than a masked word.
+LEAN = 0.6
 
 
 def cut(text: str) -> list[str]:
@@ -39,51 +45,81 @@ def cut(text: str) -> list[str]:
     return (_ASCII if text.isascii() else _ANY).findall(text)
 
 
+def lexicon(folder: str = FOLDER, vocabularies: tuple[str, ...] = ("byte_bpe_50k", "byte_bpe_multi_50k")) -> dict[str, str]:
+    """How common a word is in small and with a capital letter, from its place in public vocabularies; what neither holds is not in it."""
+    at: dict[str, list[int]] = {}
+    for v in vocabularies:
+        with open(f"{folder}/{v}.tiktoken", "rb") as f:
+            for line in f:
+                code, rank = line.split()
+                w = base64.b64decode(code).decode("utf-8", "ignore")
+                if len(w) > 2 and w[0] == " " and w[1:].isalpha() and (w[1:].islower() or w[1:].istitle()):
+                    both = at.setdefault(w[1:].lower(), [1 << 20, 1 << 20])
+                    k = 0 if w[1:].islower() else 1
+                    both[k] = min(both[k], int(rank))
+    step = lambda r: "abcd-"[0 if r < 2000 else 1 if r < 8000 else 2 if r < 22000 else 3 if r < 1 << 19 else 4]
+    return {w: step(a) + step(b) for w, (a, b) in at.items()}
+
+
 def shape(word: str) -> str:
     s = re.sub(r"[^\W\d_]+", lambda m: "X" if m.group().isupper() and len(m.group()) > 1 else "x" if m.group().islower() else "I" if len(m.group()) == 1 else "Xx", word)
-    return re.sub(r"\d+", lambda m: f"9{min(len(m.group()), 13)}", s)
+    return re.sub(r"\d+", lambda m: f"9{min(len(m.group()), 13)}", s[:64] if s is word or len(s) > 64 else s)[:40]
+
+
+def folded(token: str) -> str:
+    """The token without white space, in compatibility form."""
+    w = token.strip()
+    return w if w.isascii() else _IGNORED.sub("", unicodedata.normalize("NFKC", _IGNORED.sub("", w)).translate(_TABLE)) or w
 
 
-def features(token: str) -> tuple[list[str], list[str]]:
+def features(token: str, lex: dict[str, str]) -> tuple[list[str], list[str]]:
     """A token's features for its own place and those for its neighbours."""
     glued = not token[:1].isspace()
-    w = token.strip()
-    if not w.isascii():
-        w = _IGNORED.sub("", unicodedata.normalize("NFKC", _IGNORED.sub("", w)).translate(_TABLE)) or w
+    w = folded(token)
     low, s = w.lower(), shape(w)
+    known = lex.get(low, "--")
     low = re.sub(r"\d", "9", low)
     has = any(c.isdigit() for c in w)
-    near = [f"w={low}", f"s={s}", f"g={glued}{s}"]
+    near = [f"w={low}", f"s={s}", f"g={glued}{s}", f"n={sum(map(str.isdigit, w)) if has else ''}"]
+    if not has and w[:1].isalpha():
+        near += [f"k={known}", f"ks={known}{s}"]
     own = [*near, "bias", f"gw={glued}{low[:1] if not low.isalnum() else ''}"]
     if len(w) > 3 and not has:
-        own += [f"p3={low[:3]}", f"p4={low[:4]}", f"e3={low[-3:]}", f"e4={low[-4:]}", f"e5={low[-5:]}", f"se={s}{low[-3:]}"]
-        near += [f"e3={low[-3:]}", f"e4={low[-4:]}", f"p4={low[:4]}"]
+        own += [f"p3={low[:3]}", f"e3={low[-3:]}", f"e4={low[-4:]}", f"se={s}{low[-3:]}", f"ke={known}{low[-2:]}", f"len={min(len(w), 14)}{s}"]
+        near += [f"e4={low[-4:]}"]
     if has:
         own.append(f"head={low[:2] if low[:1].isalpha() else w[:1]}{s}")
+        own.append(f"sep={''.join(sorted(set(re.sub(r'[0-9a-z]', '', low))))}{sum(map(str.isdigit, w))}")
     return own, near
 
 
-def _token_features(token: str) -> list[tuple[int, str]]:
-    own, near = features(token)
-    return [(o, f"{o}:{f}") for o in OFFSETS for f in (own if o == 0 else near)]
+def barred(token: str) -> np.ndarray:
+    """What a token can't be: a name with digits, a telephone number with letters other than an extension's."""
+    out = np.zeros(N, np.float32)
+    w = folded(token)
+    if any(c.isdigit() for c in w):
+        out[[LABELS.index("B-name"), LABELS.index("I-name")]] = -1e3
+    if any(c.isalpha() for c in w) and w.lower() not in ("x", "ext"):
+        out[[LABELS.index("B-phone"), LABELS.index("I-phone")]] = -1e3
+    return out
 
 
-def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
-    m = x.max(axis=axis, keepdims=True)
-    return np.squeeze(m, axis) + np.log(np.exp(x - m).sum(axis=axis))
+def _token_features(token: str, lex: dict[str, str]) -> list[tuple[int, str]]:
+    own, near = features(token, lex)
+    return [(o, f"{o}:{f}") for o in OFFSETS for f in (own if o == 0 else near)]
 
 
 class Field:
     """Weights: ``emit`` for (feature, label), ``move`` for (label, next label), ``start`` and ``stop``."""
 
-    def __init__(self, names: dict[str, int], emit: np.ndarray, move: np.ndarray, start: np.ndarray):
-        self.names, self.emit, self.move, self.start = names, emit, move, start
+    def __init__(self, names: dict[str, int], emit: np.ndarray, move: np.ndarray, start: np.ndarray, lex: dict[str, str]):
+        self.names, self.emit, self.move, self.start, self.lex = names, emit, move, start, lex
 
     @classmethod
-    def fit(cls, texts: list[list[tuple[str, str]]], epochs: int = 8, batch: int = 48, rate: float = 0.35, decay: float = 2e-6, seed: int = 1) -> Field:
-        """Maximum likelihood on labelled texts (lists of stretches with their kinds)."""
+    def fit(cls, texts: list[list[tuple[str, str]]], lex: dict[str, str], epochs: int = 6, batch: int = 96, rate: float = 0.4, decay: float = 2e-6, seed: int = 1) -> Field:
+        """Maximum likelihood on labelled texts (lists of stretches with their kinds). Features of fewer than ``_RARE`` tokens are left out."""
         names: dict[str, int] = {}
-        rows = []
+        rows, seen = [], {}
         for parts in texts:
             text, at, spans = "".join(a for a, _ in parts), 0, []
             for a, k in parts:
@@ -99,18 +135,27 @@ class Field:
                 y.append((0 if not k else 1 + 2 * KINDS.index(k[1]) + (0 if first else 1), k))
             feats = [[] for _ in tokens]
             for i, t in enumerate(tokens):
-                for o, f in _token_features(t):
+                got = seen.get(t)
+                if got is None:
+                    got = seen[t] = [(o, names.setdefault(f, len(names))) for o, f in _token_features(t, lex)]
+                for o, f in got:
                     # a token at offset o from place p is at p + o
                     if 0 <= i - o < len(tokens):
-                        feats[i - o].append(names.setdefault(f, len(names)))
+                        feats[i - o].append(f)
             rows.append((feats, [a for a, _ in y]))
+        often = np.bincount(np.array([f for fs, _ in rows for x in fs for f in x]), minlength=len(names)) >= _RARE
+        index = np.cumsum(often) - 1
+        names = {k: int(index[i]) for k, i in names.items() if often[i]}
+        rows = [([[int(index[f]) for f in x if often[f]] for x in fs], y) for fs, y in rows]
         emit, move, start = np.zeros((len(names), N)), np.zeros((N, N)), np.zeros(N)
         se, sm, ss = np.full(len(names), 1e-6), np.full((N, N), 1e-6), np.full(N, 1e-6)
         rng = np.random.default_rng(seed)
         for _ in range(epochs):
             order = rng.permutation(len(rows))
-            for lo in range(0, len(order), batch):
-                part = sorted((rows[i] for i in order[lo : lo + batch]), key=lambda r: -len(r[1]))
+            big = 16 * batch  # texts of like length go together
+            order = [i for lo in range(0, len(order), big) for i in sorted(order[lo : lo + big], key=lambda i: -len(rows[i][1]))]
+            for lo in rng.permutation(range(0, len(order), batch)):
+                part = [rows[i] for i in order[lo : lo + batch]]
                 part = [p for p in part if p[1]]
                 if not part:
                     continue
@@ -125,21 +170,25 @@ class Field:
                 at = np.where(mask, base[:, None] + np.arange(size)[None], 0)
                 e, y = e_flat[at], np.zeros((n, size), int)
                 y[mask] = np.concatenate([p[1] for p in part])
-                fwd = np.empty((size, n, N))
-                fwd[0] = start + e[:, 0]
-                for t in range(1, size):
-                    step = _logsum(fwd[t - 1][:, :, None] + move[None], 1) + e[:, t]
-                    fwd[t] = np.where(mask[:, t, None], step, fwd[t - 1])
-                z = _logsum(fwd[-1], 1)
-                bwd, gm = np.zeros((n, N)), np.zeros((N, N))
+                # forward and backward in probabilities, rescaled at every place
+                step = np.exp(move)
+                e = np.exp(e - e.max(axis=2, keepdims=True)).transpose(1, 0, 2) + 1e-30
+                fwd, scale = np.empty((size, n, N)), np.ones((size, n, 1))
+                now = np.exp(start) * e[0]
+                for t in range(size):
+                    if t:
+                        now = np.where(mask[:, t, None], (fwd[t - 1] @ step) * e[t], fwd[t - 1])
+                    scale[t] = now.sum(1, keepdims=True)
+                    fwd[t] = now / scale[t]
+                bwd, gm = np.ones((n, N)), np.zeros((N, N))
                 prob = np.empty((n, size, N))
                 for t in range(size - 1, -1, -1):
-                    prob[:, t] = np.exp(fwd[t] + bwd - z[:, None])
+                    prob[:, t] = fwd[t] * bwd
+                    prob[:, t] /= prob[:, t].sum(1, keepdims=True)
                     if t:
-                        inner = (e[:, t] + bwd)[:, None, :] + move[None]
-                        pair = np.exp(fwd[t - 1][:, :, None] + inner - z[:, None, None])
-                        gm += pair[mask[:, t]].sum(0)
-                        bwd = np.where(mask[:, t, None], _logsum(inner, 2), bwd)
+                        inner = np.where(mask[:, t, None], e[t] * bwd / scale[t], 0.0)
+                        gm += (fwd[t - 1].T @ inner) * step
+                        bwd = np.where(mask[:, t, None], inner @ step.T, bwd)
                 gs = prob[:, 0].sum(0) - np.bincount(y[:, 0], minlength=N)
                 both = mask[:, 1:]
                 np.subtract.at(gm, (y[:, :-1][both], y[:, 1:][both]), 1)
@@ -165,7 +214,7 @@ class Field:
                 if lb[0] == "I" and la[1:] != lb[1:]:
                     move[a, b] = -1e4
         start = np.where([x[0] == "I" for x in LABELS], -1e4, start)
-        return cls(names, emit[keep].astype(np.float32), move.astype(np.float32), start.astype(np.float32))
+        return cls(names, emit[keep].astype(np.float32), move.astype(np.float32), start.astype(np.float32), lex)
 
 
 class Tagger:
@@ -183,10 +232,12 @@ class Tagger:
         i = len(self.types)
         if i == len(self.table):
             self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-        for o, f in _token_features(token):
+        for o, f in _token_features(token, self.f.lex):
             k = self.f.names.get(f)
             if k is not None:
                 self.table[i, o + 2] += self.f.emit[k]
+        self.table[i, 2] += barred(token)
+        self.table[i, 2, 0] -= LEAN
         self.types[token] = i
         return i
 
@@ -261,6 +312,10 @@ class Tagger:
 _AT = re.compile(r"@|\bat\b|[(\[{]\s*(?:at|a|ät)\s*[)\]}]", re.I)
 
 
+_STREET = re.compile(rf"\b(?:{'|'.join(re.escape(w.rstrip('.')) for w in sorted({*ROADS, *STREETS, *CALLES}))})(?!\w)|(?:{'|'.join(re.escape(w.rstrip('.')) for w in WAYS)})(?!\w)", re.I)
+_PARTICLES = set("van von der den de del della di da dos das du la le zu ten ter el al bin and y e".split())
+
+
 def plausible(span: str, kind: str) -> bool:
     """What any span of a kind must have."""
     s = span if span.isascii() else unicodedata.normalize("NFKC", _IGNORED.sub("", span)).translate(_TABLE)
@@ -272,18 +327,21 @@ def plausible(span: str, kind: str) -> bool:
     if kind == "id_number":
         return digits >= 6
     if kind == "address":
-        return digits >= 1 and sum(c.isalpha() for c in s) >= 4
-    return len(re.findall(r"[^\W\d_]{2,}", s)) >= 2 and digits == 0
+        return digits >= 1 and bool(_STREET.search(s))
+    words = [w for w in re.findall(r"[^\W\d_]{2,}", s) if w.lower() not in _PARTICLES]
+    # written with capitals throughout or nowhere
+    return len(words) >= 2 and digits == 0 and len({w[0].isupper() for w in words}) == 1
 
 
-_FIELDS: dict[int, Field] = {}
+_FIELDS: dict[tuple[int, str], Field] = {}
 
 
-def field(n_examples: int = 1800) -> Field:
-    """The field fitted to the labelled table, once in a process."""
-    if n_examples not in _FIELDS:
-        _FIELDS[n_examples] = Field.fit(examples(n_examples))
-    return _FIELDS[n_examples]
+def field(n_examples: int = 6000, folder: str = FOLDER) -> Field:
+    """The field fitted to the labelled table, once in a process; ``folder`` holds the public vocabularies that tell common words."""
+    key = (n_examples, folder)
+    if key not in _FIELDS:
+        _FIELDS[key] = Field.fit(examples(n_examples), lexicon(folder))
+    return _FIELDS[key]
 
 
 def _tagged(texts: list[str | None], tagger: Tagger) -> list[list[tuple[int, int, str]]]:
