@@ -11,7 +11,7 @@ from tidewatch.llm.pii_labels import KINDS, examples
 
 
 @pytest.fixture(scope="module")
-def model():
+def model(spark):
     return pii.field()
 
 
@@ -38,8 +38,8 @@ def test_spans_of_hand_written_texts(model):
     assert p >= 0.9 and r >= 0.9, (p, r)
 
 
-def test_spans_of_frames_and_names_kept_out():
-    part = pii.Field.fit(examples(6000, part=0), pii.lexicon())
+def test_spans_of_frames_and_names_kept_out(model):
+    part = pii.Field.fit(examples(6000, part=0), model.words)
     held = examples(500, seed=99, part=1)
     wanted = []
     for p in held:
@@ -78,10 +78,10 @@ def test_decoding_equals_brute_force(model):
             continue
         emit = np.zeros((len(toks), pii.N))
         for i, t in enumerate(toks):
-            for o, f in pii._token_features(t, model.lex):
+            for o, f in pii._token_features(t, model.words):
                 if 0 <= i - o < len(toks) and f in model.names:
                     emit[i - o] += model.emit[model.names[f]]
-            emit[i] += pii.barred(t)
+            emit[i] += pii.barred(t, model.words)
             emit[i, 0] -= pii.LEAN
         value = lambda s: model.start[s[0]] + sum(emit[i, a] for i, a in enumerate(s)) + sum(model.move[a, b] for a, b in zip(s, s[1:]))
         if len(toks) <= 4:

@@ -1,14 +1,19 @@
 """One consistent form for text that looks the same.
 
 Compatibility decomposition, deletion of ignorable characters and one space for any run of white space come first.
-Then each word is a lattice: at every letter stand all letters, of any script, that look alike. Viterbi search takes
-the path with the best character-bigram scores, where a change of script inside a word costs ``SWITCH`` and a word
-that can be read in Latin letters throughout is (its prior outweighs every score). The lattice depends only on what
-the word looks like, so words that look the same come out the same, and words that don't, don't. The result is composed.
+Then each word is a lattice: at every letter stand all letters that look like it, by the public table of confusable
+characters (Unicode TS 39, read from the ICU library of the session). Viterbi search takes the path with the best score:
+character trigrams of each script, counted over the words of public vocabularies; a change of script within a word costs
+``SWITCH``, a letter that changes its case ``CASE``, and a script other than the main one of the text ``PRIOR`` a word. The
+main script is that of the letters which look like those of no other. Lattice and main script depend only on what the text
+looks like, so texts that look the same come out the same, and texts that don't, don't. The result is composed.
+
+An ASCII word is its own best path unless all of its letters have twins in one other script; only such words are searched.
 """
 
 from __future__ import annotations
 
+import base64
 import math
 import unicodedata
 from collections.abc import Iterator
@@ -16,120 +21,204 @@ from collections.abc import Iterator
 import pyarrow as pa
 import regex
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.session import spread
-
-#: Letters of other scripts, and the Latin letters they look like, in the same order.
-ALIKE = {
-    "Cyrillic": ("аеорсухѕіјһԁԛԝѵӏАВЕІЈКМНОРСТУХЅԚԜ", "aeopcyxsijhdqwvlABEIJKMHOPCTYXSQW"),
-    "Greek": ("ονΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "ovABEZHIKMNOPTYX"),
-    "Armenian": ("օոհսցզՕՏՍԼ", "onhugqOSUL"),
-}
-#: Words from which the character bigrams of each script are counted.
-WORDS = {
-    "Latin": "the and with that this battery review return price quality after charger still looks never because und nicht sehr gut der die das avec pour très bien est nous con para muy pero por una della sono molto non com para não muito uma het een niet zeer goed voor",
-    "Cyrillic": "и не что на это как коляска хорошо качество очень товар после работает бутылочка батарея цена спасибо заказ плохо быстро магазин отзыв ребенок купили детская удобно рекомендую",
-    "Greek": "και το να είναι για με πολύ καλό προϊόν τιμή μπαταρία δεν αυτό μετά αθήνα ευχαριστώ ποιότητα παιδί αγορά γρήγορα",
-    "Armenian": "և է որ այս շատ լավ գին որակ հետո շնորհակալություն մարտկոց երեխա ապրանք",
-}
-#: Cost of a change of script within a word, and the gain of a wholly Latin one.
-SWITCH, LATIN = 12.0, 1e6
+from tidewatch.llm.tokens import FOLDER
+from tidewatch.session import checkpointed, spread
+
+#: Scripts with trigrams; letters of other scripts are read in one of these where they look like it, and stay otherwise.
+SCRIPTS = ("Latin", "Cyrillic", "Greek", "Armenian")
+#: Pairs that look the same in most fonts and that the table has elsewhere.
+FURTHER = (("ӏ", "l"),)
+SWITCH, CASE, PRIOR, FLOOR = 60.0, 6.0, 14.0, -11.0
 MIN_CHARS = 25
-#: Variants whose copies make at most this many pairs come out as all of them.
+#: Variants whose copies make at most this many pairs come out as all of them (``None``: always).
 PAIRS = 40_000
 
-_SKELETON = {a: b for x, y in ALIKE.values() for a, b in zip(x, y, strict=True)}
-_SCRIPT = {a: s for s, (x, _) in ALIKE.items() for a in x}
-_READINGS: dict[str, list[str]] = {}
-for _a, _b in _SKELETON.items():
-    _READINGS.setdefault(_b, [_b]).append(_a)
-_TABLE = str.maketrans(_SKELETON)
 _IGNORED = regex.compile(r"[\p{Default_Ignorable_Code_Point}\p{Cf}\p{Cc}--\t\n\v\f\r\x1c-\x1f\x85]+", regex.V1)
 _LETTERS = regex.compile(r"[\p{L}\p{M}]+")
-_FOREIGN = regex.compile(r"[^\p{Latin}\p{M}]")
-_NAMED = {s: regex.compile(rf"\p{{{s}}}") for s in WORDS}
+_NAMED = {s: regex.compile(rf"\p{{{s}}}") for s in SCRIPTS}
 
 
 def script(ch: str) -> str:
     return next((s for s, p in _NAMED.items() if p.match(ch)), "other")
 
 
-def _bigrams() -> dict[tuple[str, str], float]:
+def confusable_letters(spark: SparkSession) -> dict[str, str]:
+    """Each letter of the scripts' blocks, and of others, with the skeleton of the public table where it is one letter's."""
+    letters = [c for c in map(chr, range(0x41, 0x1E950)) if not 0x3400 <= ord(c) <= 0xABFF and not 0xAC00 <= ord(c) <= 0xDFFF and not 0xE000 <= ord(c) <= 0xFAFF and c.isalpha() and unicodedata.normalize("NFKD", c) == c]
+    icu = spark._jvm.com.ibm.icu.text.SpoofChecker.Builder().build()
+    skeletons = icu.getSkeleton("\n".join(letters)).split("\n")
+    return {c: s for c, s in zip(letters, skeletons) if len(s) == 1}
+
+
+def twins(skeletons: dict[str, str]) -> dict[str, tuple[str, ...]]:
+    """For each letter the letters of ``SCRIPTS`` that it may be read as, itself first.
+
+    A Latin letter of ASCII is never read as another Latin one: case and accent are differences. Dotless and barred
+    forms of Latin letters stay as they are.
+    """
+    groups: dict[str, list[str]] = {}
+    for c, s in skeletons.items():
+        groups.setdefault(s, []).append(c)
+    for a, b in FURTHER:
+        groups.setdefault(skeletons.get(b, b), []).append(a)
+        groups[f"{a}{b}"] = [a, b]
+    out = {}
+    for members in groups.values():
+        members = list(dict.fromkeys(members))
+        read = [m for m in members if script(m) != "other" and (script(m) != "Latin" or m.isascii())]
+        for c in members:
+            own = c.isascii() or script(c) != "Latin" or c in "ɑɡ"
+            others = [m for m in read if m != c and not (script(c) == script(m) == "Latin" and c not in "ɑɡ") and own]
+            keep = [c] if script(c) in SCRIPTS and c not in "ɑɡ" or not others else []
+            if others:
+                out[c] = tuple(dict.fromkeys((*keep, *out.get(c, ()), *sorted(others, key=lambda m: (SCRIPTS.index(script(m)), m)))))
+    return out
+
+
+def trigrams(folder: str = FOLDER, vocabularies: tuple[str, ...] = ("byte_bpe_50k", "byte_bpe_multi_50k")) -> dict[str, dict[str, float]]:
+    """Log-probabilities of a letter after two others (``^`` before a word), by script, from words weighted by their rank."""
+    counts: dict[str, dict[str, float]] = {s: {} for s in SCRIPTS}
+    whole = {s: regex.compile(rf"\p{{{s}}}+") for s in SCRIPTS}
+    for v in vocabularies:
+        with open(f"{folder}/{v}.tiktoken", "rb") as f:
+            for line in f:
+                code, rank = line.split()
+                w = base64.b64decode(code).decode("utf-8", "ignore")
+                if w[:1] == " ":
+                    start, w = "^^", w[1:]
+                else:
+                    start = "  "
+                w = "".join(c for c in unicodedata.normalize("NFKD", w) if not unicodedata.combining(c)).lower()
+                s = next((s for s in SCRIPTS if whole[s].fullmatch(w)), None)
+                if s:
+                    x = start + w
+                    for i in range(2 if start == "^^" else 4, len(x)):
+                        counts[s][x[i - 2 : i + 1]] = counts[s].get(x[i - 2 : i + 1], 0.0) + 1e4 / (1e3 + int(rank))
     out = {}
-    for s, words in WORDS.items():
-        pairs: dict[tuple[str, str], int] = {}
-        for w in unicodedata.normalize("NFKD", words).split():
-            w = "^" + "".join(c for c in w if not unicodedata.combining(c))
-            for p in zip(w, w[1:]):
-                pairs[p] = pairs.get(p, 0) + 1
-        total = sum(pairs.values())
-        out |= {p: math.log((n + 0.1) / total) for p, n in pairs.items()}
+    for s, got in counts.items():
+        heads: dict[str, float] = {}
+        letters: dict[str, float] = {}
+        for t, n in got.items():
+            heads[t[:2]] = heads.get(t[:2], 0.0) + n
+            letters[t[2]] = letters.get(t[2], 0.0) + n
+        total = sum(letters.values()) or 1.0
+        out[s] = {t: math.log(0.9 * n / heads[t[:2]] + 0.1 * letters[t[2]] / total) for t, n in got.items()} | {c: math.log(0.1 * n / total) for c, n in letters.items()}
     return out
 
 
-_SCORES = _bigrams()
-_FLOOR = -9.0
+class Reader:
+    """The lattice search, with twins and trigrams at hand; it holds plain dictionaries, so that it can be sent to workers."""
+
+    def __init__(self, alike: dict[str, tuple[str, ...]], scores: dict[str, dict[str, float]]):
+        self.twins, self.scores = alike, scores
+        self.scripts = {c: script(c) for c in {x for c, t in alike.items() for x in (c, *t)}}
+        lone = "".join(regex.escape(c) for c in alike if c.isascii() and any(self.scripts[t] != "Latin" for t in alike[c]))
+        #: words of ASCII letters that all have twins elsewhere, and letters that have none
+        self.doubtful = regex.compile(rf"(?<!\p{{L}})[{lone}]+(?!\p{{L}})") if lone else None
+        self.sure = {s: regex.compile(rf"[\p{{{s}}}--[{''.join(regex.escape(c) for c, t in alike.items() if self.scripts[c] == s)}]]" if any(self.scripts[c] == s for c in alike) else rf"\p{{{s}}}", regex.V1) for s in SCRIPTS}
+
+    def readings(self, letter: str) -> tuple[str, ...]:
+        """All letters that look like a letter, in an order that is the same for all of them."""
+        t = self.twins.get(letter)
+        return tuple(sorted({letter, *t} if letter in t else t, key=lambda c: (SCRIPTS.index(self.scripts[c]), c))) if t else (letter,)
+
+    def _of(self, c: str) -> str:
+        return self.scripts.get(c) or script(c)
+
+    def letter_score(self, before: str, c: str, s: str) -> float:
+        p = self.scores.get(s)
+        if p is None:
+            return FLOOR
+        c = c.lower()
+        got = p.get(before + c)
+        return got if got is not None else p.get(c, FLOOR)
+
+    def path_score(self, seen: str, path: str, main: str) -> float:
+        """What the search maximises over the paths of a lattice (base letters only); ``seen`` is the word as it is stored."""
+        total, prev, before = 0.0, None, "^^"
+        for a, c in zip(seen, path):
+            s = self._of(c)
+            total += self.letter_score(before, c, s) - (SWITCH if prev not in (None, s) else 0.0) - (PRIOR if prev is None and s != main else 0.0) - self.case_cost(a, c)
+            before, prev = before[1] + c.lower(), s
+        return total
+
+    @staticmethod
+    def case_cost(a: str, c: str) -> float:
+        return CASE if a.isupper() != c.isupper() else 0.0
+
+    def resolve(self, word: str, main: str = "Latin") -> str:
+        """The best reading of a decomposed word of letters and marks. Ties go to the reading that comes first."""
+        best: dict[tuple[str, str], tuple[float, str]] = {("^^", ""): (0.0, "")}
+        for a in word:
+            if unicodedata.combining(a):
+                best = {k: (v, p + a) for k, (v, p) in best.items()}
+                continue
+            step: dict[tuple[str, str], tuple[float, str]] = {}
+            for c in self.readings(a):
+                s = self._of(c)
+                for (before, prev), (v, p) in best.items():
+                    v += self.letter_score(before, c, s) - (SWITCH if prev and prev != s else 0.0) - (PRIOR if not prev and s != main else 0.0) - self.case_cost(a, c)
+                    k = (before[1] + c.lower(), s)
+                    if k not in step or v > step[k][0]:
+                        step[k] = (v, p + c)
+            best = step
+        return max(best.values(), key=lambda x: x[0])[1]
 
 
-def readings(letter: str) -> list[str]:
-    """The letters that look like a letter of a skeleton, the Latin one first."""
-    return _READINGS.get(letter, [letter])
+_READERS: dict[str, Reader] = {}
 
 
-def path_score(path: str) -> float:
-    """What the search maximises over the paths of a lattice (base letters only)."""
-    scripts = [script(c) for c in path]
-    total = LATIN if all(s == "Latin" for s in scripts) else 0.0
-    for a, b, sa, sb in zip("^" + path, path, ["^", *scripts], scripts):
-        total += _SCORES.get((a, b.lower() if a == "^" else b), _FLOOR) - (SWITCH if sa != "^" and sa != sb else 0.0)
-    return total
+def reader(spark: SparkSession | None = None, folder: str = FOLDER) -> Reader:
+    """The reader of a process, made once on the driver."""
+    if folder not in _READERS:
+        _READERS[folder] = Reader(twins(confusable_letters(spark or SparkSession.active())), trigrams(folder))
+    return _READERS[folder]
 
 
-def resolve(word: str) -> str:
-    """The best reading of a decomposed word of letters and marks. Ties go to the reading that comes first."""
-    word = word.translate(_TABLE)
-    if not _FOREIGN.search(word):
-        return word
-    best: list[tuple[float, str, str, str]] | None = None  # score, path, last letter, its script
-    for c in word:
-        if unicodedata.combining(c):
-            best = [(s, p + c, a, k) for s, p, a, k in best] if best else [(0.0, c, "^", "^")]
-            continue
-        step = []
-        for r in readings(c):
-            k = script(r)
-            if best is None:
-                step.append((_SCORES.get(("^", r.lower()), _FLOOR), r, r, k))
-                continue
-            at = max(((s + _SCORES.get((a, r.lower() if a == "^" else r), _FLOOR) - (SWITCH if a != "^" and k != ka else 0.0), -i) for i, (s, p, a, ka) in enumerate(best)))
-            step.append((at[0], best[-at[1]][1] + r, r, k))
-        best = step
-    return max(enumerate(best), key=lambda x: (x[1][0], -x[0]))[1][1] if best else word
+def latin_table(read: Reader | None = None) -> dict[int, str]:
+    """For ``str.translate``: letters of other scripts to the Latin letter of their case that they look like."""
+    read = read or reader()
+    to = {c: next((t for t in ts if t.isascii() and t.isupper() == c.isupper()), None) for c, ts in read.twins.items() if not c.isascii()}
+    return {ord(c): t for c, t in to.items() if t}
 
 
 class Former:
     """``form(text)``, with the words met so far remembered."""
 
-    def __init__(self, most: int = 200_000):
-        self.known, self.most = {}, most
+    def __init__(self, read: Reader | None = None, most: int = 200_000):
+        self.read, self.most = read or reader(), most
+        self.known: dict[str, dict[str, str]] = {s: {} for s in SCRIPTS}
+        self.words = {s: self._words(s) for s in SCRIPTS}
+
+    def _words(self, main: str):
+        known, resolve, most = self.known[main], self.read.resolve, self.most
 
-    def _word(self, m) -> str:
-        w = m.group()
-        got = self.known.get(w)
-        if got is None:
-            if len(self.known) >= self.most:
-                self.known.clear()
-            got = self.known[w] = resolve(w)
-        return got
+        def word(m) -> str:
+            w = m.group()
+            got = known.get(w)
+            if got is None:
+                if len(known) >= most:
+                    known.clear()
+                got = known[w] = resolve(w, main)
+            return got
+
+        return word
+
+    def main(self, text: str) -> str:
+        """The script of most letters that have no twin elsewhere; Latin where there are none or as many."""
+        n = {s: len(p.findall(text)) for s, p in self.read.sure.items()}
+        return max(SCRIPTS, key=lambda s: (n[s], s == "Latin"))
 
     def form(self, text: str) -> str:
-        if text.isascii() and text.isprintable():
-            return " ".join(text.split())
-        text = _IGNORED.sub("", unicodedata.normalize("NFKD", _IGNORED.sub("", text)))
+        if not text.isascii() or not text.isprintable():
+            text = _IGNORED.sub("", unicodedata.normalize("NFKD", _IGNORED.sub("", text)))
         if not text.isascii():
-            text = unicodedata.normalize("NFC", _LETTERS.sub(self._word, text))
+            text = unicodedata.normalize("NFC", _LETTERS.sub(self.words[self.main(text)], text))
+        elif self.read.doubtful:
+            text = self.read.doubtful.sub(self.words["Latin"], text)
         return " ".join(text.split())
 
 
@@ -139,10 +228,10 @@ def unify(df: DataFrame, columns: tuple[str, ...] = ("text_raw", "text_norm"), k
     Null stays null; empty and blank texts become empty. Rows are neither merged nor dropped; other columns are ignored.
     """
     rows = df.select(*keep, *columns)
-    k = len(keep)
+    k, read = len(keep), reader(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f = Former()
+        f = Former(read)
         for b in batches:
             done = [pa.array([None if t is None else f.form(t) for t in c.to_pylist()], pa.string()) for c in b.columns[k:]]
             yield pa.RecordBatch.from_arrays([*b.columns[:k], *done], names=b.schema.names)
@@ -150,9 +239,9 @@ def unify(df: DataFrame, columns: tuple[str, ...] = ("text_raw", "text_norm"), k
     return spread(rows).mapInArrow(run, ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in rows.schema))
 
 
-def _keys(fields: tuple[str, ...]):
+def _keys(fields: tuple[str, ...], read: Reader):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        former, cut = Former(), lambda x: x - (1 << 64) if x >> 63 else x
+        former, cut = Former(read), lambda x: x - (1 << 64) if x >> 63 else x
         for b in batches:
             ids, skus = b.column(0), b.column(1).to_pylist()
             for f in range(len(fields)):
@@ -169,27 +258,56 @@ def _keys(fields: tuple[str, ...]):
     return run
 
 
-def alike_pairs(df: DataFrame, fields: tuple[str, ...] = ("text_raw", "text_norm")) -> DataFrame:
+_H = ["f", "h1", "h2"]
+
+
+def hashed(df: DataFrame, fields: tuple[str, ...]) -> DataFrame:
+    """``(f, rid, h1, h2, raw)``: a row for each record and field of enough characters; h1, h2: hash of sku and form, raw: of the code points.
+
+    Kept in the checkpoint folder, so that the forms are made once.
+    """
+    rows = df.select(F.col("review_id").cast("string").alias("rid"), F.col("sku").cast("string").alias("sku"), *fields).where("rid is not null and sku is not null")
+    return checkpointed(spread(rows).mapInArrow(_keys(fields, reader(df.sparkSession)), "f tinyint, rid string, h1 bigint, h2 bigint, raw bigint"))
+
+
+def _field(fields: tuple[str, ...]):
+    return F.element_at(F.array(*[F.lit(x) for x in fields]), F.col("f").cast("int") + 1)
+
+
+def alike_pairs(df: DataFrame, fields: tuple[str, ...] = ("text_raw", "text_norm"), most: int | None = PAIRS) -> DataFrame:
     """``(field, review_id_a, review_id_b)``, a < b: reviews of one sku whose field differs in code points but looks the same.
 
     Only texts of at least ``MIN_CHARS`` characters in their form count; rows with a null id, sku or text have no pair;
     repeated rows are one. Texts are compared by hashes (128 bits of sku and form, 64 of the code points). Two variants with
-    more than ``PAIRS`` pairs of copies come out as all copies of each with the first of the other.
+    more than ``most`` pairs of copies come out as all copies of each with the first of the other, and ``alike_groups`` tells
+    the copies of each; ``most=None`` writes every pair.
     """
-    rows = df.select(F.col("review_id").cast("string").alias("rid"), F.col("sku").cast("string").alias("sku"), *fields).where("rid is not null and sku is not null")
-    rows = spread(rows).mapInArrow(_keys(fields), "f tinyint, rid string, h1 bigint, h2 bigint, raw bigint")
-    h = ["f", "h1", "h2"]
-    varied = rows.groupBy(*h).agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")).where("lo <> hi").select(*h)
-    m = rows.join(varied, h, "left_semi").distinct()
-    v = m.groupBy(*h, "raw").agg(F.count("*").alias("n"), F.min("rid").alias("first"))
-    va, vb = (v.select(*h, F.col("raw").alias(f"raw{x}"), F.col("n").alias(f"n{x}"), F.col("first").alias(f"first{x}")) for x in "ab")
-    links = va.join(vb, h).where("rawa < rawb")
-    ma, mb = (m.select(*h, F.col("raw").alias(f"raw{x}"), F.col("rid").alias(f"r{x}")) for x in "ab")
-    few = F.col("na") * F.col("nb") <= PAIRS
-    every = links.where(few).select(*h, "rawa", "rawb").join(ma, [*h, "rawa"]).join(mb, [*h, "rawb"]).select("f", "ra", "rb")
-    many = links.where(~few)
-    left = many.join(ma, [*h, "rawa"]).select("f", "ra", F.col("firstb").alias("rb"))
-    right = many.join(mb, [*h, "rawb"]).select("f", F.col("firsta").alias("ra"), "rb")
-    name = F.element_at(F.array(*[F.lit(x) for x in fields]), F.col("f").cast("int") + 1)
-    pairs = every.unionByName(left).unionByName(right).where("ra <> rb")
-    return pairs.select(name.alias("field"), F.least("ra", "rb").alias("review_id_a"), F.greatest("ra", "rb").alias("review_id_b")).distinct()
+    rows = hashed(df, fields)
+    varied = rows.groupBy(*_H).agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")).where("lo <> hi").select(*_H)
+    m = checkpointed(rows.join(varied, _H, "left_semi").distinct())
+    v = m.groupBy(*_H, "raw").agg(F.count("*").alias("n"), F.min("rid").alias("first"))
+    va, vb = (v.select(*_H, F.col("raw").alias(f"raw{x}"), F.col("n").alias(f"n{x}"), F.col("first").alias(f"first{x}")) for x in "ab")
+    links = va.join(vb, _H).where("rawa < rawb")
+    ma, mb = (m.select(*_H, F.col("raw").alias(f"raw{x}"), F.col("rid").alias(f"r{x}")) for x in "ab")
+    few = F.lit(True) if most is None else F.col("na") * F.col("nb") <= most
+    pairs = links.where(few).select(*_H, "rawa", "rawb").join(ma, [*_H, "rawa"]).join(mb, [*_H, "rawb"]).select("f", "ra", "rb")
+    if most is not None:
+        many = links.where(~few)
+        left = many.join(ma, [*_H, "rawa"]).select("f", "ra", F.col("firstb").alias("rb"))
+        right = many.join(mb, [*_H, "rawb"]).select("f", F.col("firsta").alias("ra"), "rb")
+        pairs = pairs.unionByName(left).unionByName(right)
+    pairs = pairs.where("ra <> rb")
+    return pairs.select(_field(fields).alias("field"), F.least("ra", "rb").alias("review_id_a"), F.greatest("ra", "rb").alias("review_id_b")).distinct()
+
+
+def alike_groups(df: DataFrame, fields: tuple[str, ...] = ("text_raw", "text_norm")) -> DataFrame:
+    """``(field, review_id, class_id, variant_id, copies, variants)``: one row for each review and field of enough characters.
+
+    ``class_id`` stands for sku and form, ``variant_id`` for the very code points; ``copies`` counts the reviews with this
+    variant and ``variants`` the links of the class to other variants plus one. Nulls and repeated rows as in ``alike_pairs``.
+    """
+    m = hashed(df, fields).distinct()
+    v = m.groupBy(*_H, "raw").agg(F.count("*").alias("copies"))
+    n = v.groupBy(*_H).agg(F.count("*").alias("variants"))
+    out = m.join(v.join(n, _H), [*_H, "raw"])
+    return out.select(_field(fields).alias("field"), F.col("rid").alias("review_id"), F.format_string("%016x%016x", "h1", "h2").alias("class_id"), F.format_string("%016x", "raw").alias("variant_id"), "copies", "variants")

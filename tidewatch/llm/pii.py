@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.lookalike import _IGNORED, _TABLE
+from tidewatch.llm.lookalike import _IGNORED, latin_table
 from tidewatch.llm.pii_labels import CALLES, KINDS, ROADS, STREETS, WAYS, examples
 from tidewatch.llm.tokens import FOLDER
 from tidewatch.session import spread
@@ -66,18 +66,29 @@ def shape(word: str) -> str:
     return re.sub(r"\d+", lambda m: f"9{min(len(m.group()), 13)}", s[:64] if s is word or len(s) > 64 else s)[:40]
 
 
-def folded(token: str) -> str:
-    """The token without white space, in compatibility form."""
-    w = token.strip()
-    return w if w.isascii() else _IGNORED.sub("", unicodedata.normalize("NFKC", _IGNORED.sub("", w)).translate(_TABLE)) or w
+class Words:
+    """What is known of words: ``lex`` (see ``lexicon``) and ``table``, from look-alike letters to Latin ones."""
 
+    def __init__(self, lex: dict[str, str], table: dict[int, str]):
+        self.lex, self.table = lex, table
 
-def features(token: str, lex: dict[str, str]) -> tuple[list[str], list[str]]:
+    def folded(self, token: str) -> str:
+        """The token without white space, in compatibility form."""
+        w = token.strip()
+        return w if w.isascii() else _IGNORED.sub("", unicodedata.normalize("NFKC", _IGNORED.sub("", w)).translate(self.table)) or w
+
+    def common(self, word: str) -> bool:
+        """Whether a word is known in small letters and not better known with a capital one."""
+        k = self.lex.get(word.lower(), "--")
+        return k[0] != "-" and (k[1] == "-" or k[0] <= k[1])
+
+
+def features(token: str, words: Words) -> tuple[list[str], list[str]]:
     """A token's features for its own place and those for its neighbours."""
     glued = not token[:1].isspace()
-    w = folded(token)
+    w = words.folded(token)
     low, s = w.lower(), shape(w)
-    known = lex.get(low, "--")
+    known = words.lex.get(low, "--")
     low = re.sub(r"\d", "9", low)
     has = any(c.isdigit() for c in w)
     near = [f"w={low}", f"s={s}", f"g={glued}{s}", f"n={sum(map(str.isdigit, w)) if has else ''}"]
@@ -93,10 +104,10 @@ def features(token: str, lex: dict[str, str]) -> tuple[list[str], list[str]]:
     return own, near
 
 
-def barred(token: str) -> np.ndarray:
+def barred(token: str, words: Words) -> np.ndarray:
     """What a token can't be: a name with digits, a telephone number with letters other than an extension's."""
     out = np.zeros(N, np.float32)
-    w = folded(token)
+    w = words.folded(token)
     if any(c.isdigit() for c in w):
         out[[LABELS.index("B-name"), LABELS.index("I-name")]] = -1e3
     if any(c.isalpha() for c in w) and w.lower() not in ("x", "ext"):
@@ -104,19 +115,19 @@ def barred(token: str) -> np.ndarray:
     return out
 
 
-def _token_features(token: str, lex: dict[str, str]) -> list[tuple[int, str]]:
-    own, near = features(token, lex)
+def _token_features(token: str, words: Words) -> list[tuple[int, str]]:
+    own, near = features(token, words)
     return [(o, f"{o}:{f}") for o in OFFSETS for f in (own if o == 0 else near)]
 
 
 class Field:
     """Weights: ``emit`` for (feature, label), ``move`` for (label, next label), ``start`` and ``stop``."""
 
-    def __init__(self, names: dict[str, int], emit: np.ndarray, move: np.ndarray, start: np.ndarray, lex: dict[str, str]):
-        self.names, self.emit, self.move, self.start, self.lex = names, emit, move, start, lex
+    def __init__(self, names: dict[str, int], emit: np.ndarray, move: np.ndarray, start: np.ndarray, words: Words):
+        self.names, self.emit, self.move, self.start, self.words = names, emit, move, start, words
 
     @classmethod
-    def fit(cls, texts: list[list[tuple[str, str]]], lex: dict[str, str], epochs: int = 6, batch: int = 96, rate: float = 0.4, decay: float = 2e-6, seed: int = 1) -> Field:
+    def fit(cls, texts: list[list[tuple[str, str]]], words: Words, epochs: int = 6, batch: int = 96, rate: float = 0.4, decay: float = 2e-6, seed: int = 1) -> Field:
         """Maximum likelihood on labelled texts (lists of stretches with their kinds). Features of fewer than ``_RARE`` tokens are left out."""
         names: dict[str, int] = {}
         rows, seen = [], {}
@@ -137,7 +148,7 @@ class Field:
             for i, t in enumerate(tokens):
                 got = seen.get(t)
                 if got is None:
-                    got = seen[t] = [(o, names.setdefault(f, len(names))) for o, f in _token_features(t, lex)]
+                    got = seen[t] = [(o, names.setdefault(f, len(names))) for o, f in _token_features(t, words)]
                 for o, f in got:
                     # a token at offset o from place p is at p + o
                     if 0 <= i - o < len(tokens):
@@ -214,7 +225,7 @@ class Field:
                 if lb[0] == "I" and la[1:] != lb[1:]:
                     move[a, b] = -1e4
         start = np.where([x[0] == "I" for x in LABELS], -1e4, start)
-        return cls(names, emit[keep].astype(np.float32), move.astype(np.float32), start.astype(np.float32), lex)
+        return cls(names, emit[keep].astype(np.float32), move.astype(np.float32), start.astype(np.float32), words)
 
 
 class Tagger:
@@ -232,11 +243,11 @@ class Tagger:
         i = len(self.types)
         if i == len(self.table):
             self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-        for o, f in _token_features(token, self.f.lex):
+        for o, f in _token_features(token, self.f.words):
             k = self.f.names.get(f)
             if k is not None:
                 self.table[i, o + 2] += self.f.emit[k]
-        self.table[i, 2] += barred(token)
+        self.table[i, 2] += barred(token, self.f.words)
         self.table[i, 2, 0] -= LEAN
         self.types[token] = i
         return i
@@ -304,7 +315,7 @@ class Tagger:
                         found[-1] = (found[-1][0], hi, kind)
                     else:
                         found.append((lo, hi, kind))
-                found = [s for s in found if plausible(text[s[0] : s[1]], s[2])]
+                found = [s for s in found if plausible(text[s[0] : s[1]], s[2], self.f.words)]
             out.append(found)
         return out
 
@@ -312,13 +323,20 @@ class Tagger:
 _AT = re.compile(r"@|\bat\b|[(\[{]\s*(?:at|a|ät)\s*[)\]}]", re.I)
 
 
-_STREET = re.compile(rf"\b(?:{'|'.join(re.escape(w.rstrip('.')) for w in sorted({*ROADS, *STREETS, *CALLES}))})(?!\w)|(?:{'|'.join(re.escape(w.rstrip('.')) for w in WAYS)})(?!\w)", re.I)
+def _kinds_of(words: list[str]) -> str:
+    return "|".join(re.escape(w.rstrip(".")) for w in sorted(set(words)))
+
+
+#: Number, name and kind of a street in the orders of the languages.
+_STREET = re.compile(
+    rf"\d\w?\W+(?:[\w'’-]+\W+){{0,3}}(?:{_kinds_of(ROADS)})(?!\w)|\d\w?\W+(?:bis\W+|ter\W+)?(?:{_kinds_of(STREETS)})\W+\w|(?<!\w)(?:{_kinds_of(CALLES)})\W+(?:[\w'’.-]+\W+){{1,4}}\d|(?:{_kinds_of(WAYS)})\W+\d", re.I
+)
 _PARTICLES = set("van von der den de del della di da dos das du la le zu ten ter el al bin and y e".split())
 
 
-def plausible(span: str, kind: str) -> bool:
+def plausible(span: str, kind: str, words: Words) -> bool:
     """What any span of a kind must have."""
-    s = span if span.isascii() else unicodedata.normalize("NFKC", _IGNORED.sub("", span)).translate(_TABLE)
+    s = words.folded(span)
     digits = sum(c.isdigit() for c in s)
     if kind == "email":
         return bool(_AT.search(s)) and bool(re.search(r"\.|\bdot\b", s, re.I))
@@ -328,9 +346,10 @@ def plausible(span: str, kind: str) -> bool:
         return digits >= 6
     if kind == "address":
         return digits >= 1 and bool(_STREET.search(s))
-    words = [w for w in re.findall(r"[^\W\d_]{2,}", s) if w.lower() not in _PARTICLES]
-    # written with capitals throughout or nowhere
-    return len(words) >= 2 and digits == 0 and len({w[0].isupper() for w in words}) == 1
+    parts = [w for w in re.findall(r"[^\W\d_]{2,}", s) if w.lower() not in _PARTICLES]
+    # written with capitals throughout or nowhere, and if not just the first letters are large, no plain words throughout
+    even = len(parts) >= 2 and digits == 0 and len({w[0].isupper() for w in parts}) == 1
+    return even and (all(w[0].isupper() and w[1:2].islower() for w in parts) or not all(map(words.common, parts)))
 
 
 _FIELDS: dict[tuple[int, str], Field] = {}
@@ -340,7 +359,7 @@ def field(n_examples: int = 6000, folder: str = FOLDER) -> Field:
     """The field fitted to the labelled table, once in a process; ``folder`` holds the public vocabularies that tell common words."""
     key = (n_examples, folder)
     if key not in _FIELDS:
-        _FIELDS[key] = Field.fit(examples(n_examples), lexicon(folder))
+        _FIELDS[key] = Field.fit(examples(n_examples), Words(lexicon(folder), latin_table()))
     return _FIELDS[key]
 
 

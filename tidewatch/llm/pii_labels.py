@@ -201,13 +201,13 @@ class Maker:
         if r.random() < 0.4:
             k = r.randrange(0, len(words) - 1)
             words[k] += ","
-        if r.random() < 0.15:
-            words[r.randrange(1, len(words))] = made(r, 1, 3).capitalize()
+        if r.random() < 0.25:
+            words[r.randrange(1, len(words))] = made(r, 1, 3).capitalize() if r.random() < 0.4 else f"the {self.brand()}"
         return " ".join([words[0].capitalize(), *words[1:]]) + r.choice([".", ".", "", "!"])
 
     def plain_sentence(self) -> str:
         r = self.r
-        if r.random() < 0.3:
+        if r.random() < 0.4:
             return self.filler()
         if r.random() < 0.3:
             lead = r.choice(self.codes) + (r.choice([" number", " no.", " Nr.", " code", " n°"]) if r.random() < 0.2 else "")
@@ -246,7 +246,7 @@ class Maker:
 
 
 #: How often each kind of place is drawn.
-DRAW = ["email"] * 4 + ["phone"] * 7 + ["ssn", "nino", "tax", "pass"] * 2 + ["address"] * 5 + ["name"] * 9
+DRAW = ["email"] * 4 + ["phone"] * 7 + ["ssn", "nino", "tax", "pass"] * 3 + ["address"] * 5 + ["name"] * 9
 
 
 def examples(n: int = 6000, seed: int = 7, part: int | None = None) -> list[list[tuple[str, str]]]:

@@ -47,6 +47,10 @@ def p6_forms(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.unify(table(spark, d, "clean_reviews"))
 
 
+def p6_groups(spark: SparkSession, d: str) -> DataFrame:
+    return lookalike.alike_groups(table(spark, d, "clean_reviews"))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode(table(spark, d, "documents"))
 
@@ -73,4 +77,4 @@ def p10_segments(spark: SparkSession, d: str) -> DataFrame:
     return languages.segment(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_masked, p2_found, p2_groups, p3_found, p3_percentiles, p6_found, p6_forms, p8_ids, p9_found, p9_mixture, p9_report, p10_found, p10_segments)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_masked, p2_found, p2_groups, p3_found, p3_percentiles, p6_found, p6_forms, p6_groups, p8_ids, p9_found, p9_mixture, p9_report, p10_found, p10_segments)}
