@@ -38,6 +38,7 @@ PAIRS = 40_000
 
 _IGNORED = regex.compile(r"[\p{Default_Ignorable_Code_Point}\p{Cf}\p{Cc}--\t\n\v\f\r\x1c-\x1f\x85]+", regex.V1)
 _LETTERS = regex.compile(r"[\p{L}\p{M}]+")
+_FOREIGN = regex.compile(r"[\p{L}--\p{Latin}]", regex.V1)
 _NAMED = {s: regex.compile(rf"\p{{{s}}}") for s in SCRIPTS}
 
 
@@ -186,40 +187,43 @@ def latin_table(read: Reader | None = None) -> dict[int, str]:
 
 
 class Former:
-    """``form(text)``, with the words met so far remembered."""
+    """``form(text)``, with the stretches between white space met so far remembered, for each main script."""
 
-    def __init__(self, read: Reader | None = None, most: int = 200_000):
+    def __init__(self, read: Reader | None = None, most: int = 400_000):
         self.read, self.most = read or reader(), most
         self.known: dict[str, dict[str, str]] = {s: {} for s in SCRIPTS}
-        self.words = {s: self._words(s) for s in SCRIPTS}
-
-    def _words(self, main: str):
-        known, resolve, most = self.known[main], self.read.resolve, self.most
-
-        def word(m) -> str:
-            w = m.group()
-            got = known.get(w)
-            if got is None:
-                if len(known) >= most:
-                    known.clear()
-                got = known[w] = resolve(w, main)
-            return got
-
-        return word
 
     def main(self, text: str) -> str:
         """The script of most letters that have no twin elsewhere; Latin where there are none or as many."""
+        if not _FOREIGN.search(text):
+            return "Latin"
+        text = _bare(text)
         n = {s: len(p.findall(text)) for s, p in self.read.sure.items()}
         return max(SCRIPTS, key=lambda s: (n[s], s == "Latin"))
 
-    def form(self, text: str) -> str:
-        if not text.isascii() or not text.isprintable():
-            text = _IGNORED.sub("", unicodedata.normalize("NFKD", _IGNORED.sub("", text)))
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", _LETTERS.sub(self.words[self.main(text)], text))
+    def _stretch(self, w: str, main: str) -> str:
+        known = self.known[main]
+        if len(known) >= self.most:
+            known.clear()
+        x = w if w.isascii() and w.isprintable() else _bare(w)
+        if not x.isascii() or main != "Latin":
+            x = unicodedata.normalize("NFC", _LETTERS.sub(lambda m: self.read.resolve(m.group(), main), x))
         elif self.read.doubtful:
-            text = self.read.doubtful.sub(self.words["Latin"], text)
-        return " ".join(text.split())
+            x = self.read.doubtful.sub(lambda m: self.read.resolve(m.group()), x)
+        known[w] = x
+        return x
+
+    def form(self, text: str) -> str:
+        plain = text.isascii()
+        main = "Latin" if plain else self.main(text)
+        known, new = self.known[main], self._stretch
+        out = " ".join([known.get(w) or new(w, main) for w in text.split()])
+        return out if plain and text.isprintable() else " ".join(out.split())
+
+
+def _bare(text: str) -> str:
+    """The text decomposed by compatibility, without ignorable characters."""
+    return _IGNORED.sub("", unicodedata.normalize("NFKD", _IGNORED.sub("", text)))
 
 
 def unify(df: DataFrame, columns: tuple[str, ...] = ("text_raw", "text_norm"), keep: tuple[str, ...] = ("review_id", "sku")) -> DataFrame:
