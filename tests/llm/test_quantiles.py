@@ -38,3 +38,25 @@ def test_heavy_tails(spark, rows):
     flat = [("c", "I1", "f", i, 3.0 if i % 12 else 90.0, None, None) for i in range(60)]
     few = [("t", "I1", "f", i, r[4], None, None) for i, r in enumerate(heavy[:39])]
     assert rows(q.heavy_tails(frame(spark, heavy + even + flat + few))) == [("h", "I1", "f")]
+
+
+def test_answers_at_the_edge_are_exact(spark, rows):
+    """Groups whose margin is smaller than the sketch's error are decided by their values."""
+    r, data, want = random.Random(8), [], []
+    for g in range(60):
+        base = 1000.0
+        vals = sorted(base + r.uniform(0, 0.5) for _ in range(56)) + [base + r.uniform(0.5, 3.5) for _ in range(8)]
+        data += [(f"s{g}", "I1", "f", i, v, None, None) for i, v in enumerate(vals)]
+        s = sorted(vals)
+        p25, p50, p75, p95 = (s[max(1, math.ceil(p * len(s))) - 1] for p in (0.25, 0.5, 0.75, 0.95))
+        if p75 > p25 and p95 - p50 > 8 * (p75 - p25):
+            want.append((f"s{g}", "I1", "f"))
+    assert 0 < len(want) < 60 and rows(q.heavy_tails(frame(spark, data))) == sorted(want, key=repr)
+
+
+def test_blocks_give_the_same_as_all_buckets(spark):
+    vals = [10 ** (i % 700 / 50 - 7) * (1 if i % 3 else -1) for i in range(2500)]
+    df = spark.createDataFrame([("a", v) for v in vals], "sku string, v double")
+    names = {f"q{i}": i / 20 for i in range(21)}
+    got, s = q.percentiles(q.sketch(df, ("sku",), "v"), names).collect()[0], sorted(vals)
+    assert all(abs(got[n] - (w := s[max(1, math.ceil(p * len(s))) - 1])) <= 1.01 * q.ACCURACY * abs(w) for n, p in names.items())

@@ -57,3 +57,21 @@ def test_frame_with_nulls_empties_repeats_and_further_columns(spark, enc):
     assert 50256 not in got[-1][1]
     assert {r[0]: r[1] for r in tokens.token_counts(df).collect()}[1] == 0
     assert tokens.encode(df.limit(0)).count() == 0
+
+
+def test_lookahead_is_that_of_the_merge_list(enc):
+    """By the definition: the entries that the merge list makes of their own bytes."""
+    want = [1] * 256
+    for w in random.Random(4).sample(sorted(enc.ids), 4000) + [w for w in enc.ids if len(w) > 24]:
+        if enc.merged(w) == [enc.ids[w]]:
+            want[w[0]] = max(want[w[0]], len(w))
+    assert all(a <= b for a, b in zip(want, enc.reach)) and max(enc.reach) <= enc.longest
+    assert [b for b in range(256) if want[b] > 24 and enc.reach[b] != want[b]] == []
+
+
+def test_decoding_over_frames(spark, enc):
+    df = spark.createDataFrame([(1, "naïve 漢字\n\u200b x"), (2, ""), (3, None), (4, "<|endoftext|>")], "doc_id bigint, text string")
+    back = tokens.decode(tokens.encode(df, keep=("doc_id", "text")), keep=("doc_id", "text")).collect()
+    assert all(r["decoded"] == (r["text"] or "") for r in back) and len(back) == 4
+    odd = spark.createDataFrame([(1, None), (2, []), (3, [10**6])], "doc_id int, ids array<int>")
+    assert sorted((r[0], r[1]) for r in tokens.decode(odd).collect()) == [(1, ""), (2, ""), (3, "\ufffd")]

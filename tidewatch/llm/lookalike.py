@@ -114,7 +114,7 @@ class Reader:
     """The lattice search, with twins and trigrams at hand; it holds plain dictionaries, so that it can be sent to workers."""
 
     def __init__(self, alike: dict[str, tuple[str, ...]], scores: dict[str, dict[str, float]]):
-        self.twins, self.scores = alike, scores
+        self.twins, self.scores, self.key = alike, scores, hash((len(alike), tuple(sorted(alike)), tuple(len(x) for x in scores.values())))
         self.scripts = {c: script(c) for c in {x for c, t in alike.items() for x in (c, *t)}}
         lone = "".join(regex.escape(c) for c in alike if c.isascii() and any(self.scripts[t] != "Latin" for t in alike[c]))
         #: words of ASCII letters that all have twins elsewhere, and letters that have none
@@ -221,6 +221,16 @@ class Former:
         return out if plain and text.isprintable() else " ".join(out.split())
 
 
+_FORMERS: dict[int, Former] = {}
+
+
+def former(read: Reader) -> Former:
+    """The process's former, whose memory serves all tasks of a worker."""
+    if read.key not in _FORMERS:
+        _FORMERS[read.key] = Former(read)
+    return _FORMERS[read.key]
+
+
 def _bare(text: str) -> str:
     """The text decomposed by compatibility, without ignorable characters."""
     return _IGNORED.sub("", unicodedata.normalize("NFKD", _IGNORED.sub("", text)))
@@ -235,7 +245,7 @@ def unify(df: DataFrame, columns: tuple[str, ...] = ("text_raw", "text_norm"), k
     k, read = len(keep), reader(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f = Former(read)
+        f = former(read)
         for b in batches:
             done = [pa.array([None if t is None else f.form(t) for t in c.to_pylist()], pa.string()) for c in b.columns[k:]]
             yield pa.RecordBatch.from_arrays([*b.columns[:k], *done], names=b.schema.names)
@@ -245,13 +255,13 @@ def unify(df: DataFrame, columns: tuple[str, ...] = ("text_raw", "text_norm"), k
 
 def _keys(fields: tuple[str, ...], read: Reader):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        former, cut = Former(read), lambda x: x - (1 << 64) if x >> 63 else x
+        f_, cut = former(read), lambda x: x - (1 << 64) if x >> 63 else x
         for b in batches:
             ids, skus = b.column(0), b.column(1).to_pylist()
             for f in range(len(fields)):
                 at, h1, h2, raw = [], [], [], []
                 for i, t in enumerate(b.column(2 + f).to_pylist()):
-                    if t and len(form := former.form(t)) >= MIN_CHARS:
+                    if t and len(form := f_.form(t)) >= MIN_CHARS:
                         h = xxhash.xxh3_128_intdigest(f"{f}\0{skus[i]}\0{form}".encode("utf-8", "replace"))
                         at.append(i)
                         h1.append(cut(h & 0xFFFFFFFFFFFFFFFF))

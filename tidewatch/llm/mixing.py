@@ -25,12 +25,16 @@ TARGETS = 10_000
 
 def cut_mean(lam: float, most: int) -> float:
     """The mean of a Poisson count cut at ``most``: the sum of P(count > k) for k below it."""
-    p, below, total = math.exp(-lam), 0.0, 0.0
+    return sum(1 - b for b in _below(lam, most))
+
+
+def _below(lam: float, most: int) -> list[float]:
+    """P(count <= k) for k = 0 .. most - 1; each term from its logarithm, so that any mean has them."""
+    out, total, log_lam = [], 0.0, math.log(lam) if lam > 0 else -math.inf
     for k in range(most):
-        below += p
-        total += 1 - below
-        p *= lam / (k + 1)
-    return total
+        total += math.exp(k * log_lam - lam - math.lgamma(k + 1)) if lam > 0 else float(k == 0)
+        out.append(min(total, 1.0))
+    return out
 
 
 def thresholds(rate: float, most: int) -> list[float]:
@@ -40,17 +44,12 @@ def thresholds(rate: float, most: int) -> list[float]:
     if rate >= most:
         return [0.0] * most
     lo, hi = 0.0, 1.0
-    while cut_mean(hi, most) < rate and hi < 700:
+    while cut_mean(hi, most) < rate * (1 - 1e-12) and hi < 1e12:
         hi *= 2
     for _ in range(100):
         mid = (lo + hi) / 2
         lo, hi = (mid, hi) if cut_mean(mid, most) < rate else (lo, mid)
-    p, below, out = math.exp(-lo), 0.0, []
-    for k in range(most):
-        below += p
-        out.append(below)
-        p *= lo / (k + 1)
-    return out
+    return _below((lo + hi) / 2, most)
 
 
 @F.pandas_udf(ArrayType(DoubleType()))
@@ -85,33 +84,64 @@ def _copies(rows: DataFrame, plan: DataFrame, identity: list[str], seed: int) ->
     return rows.withColumn("_copies", F.size(F.filter("_cuts", lambda c: c <= F.col("_u")))).drop("_u", "_cuts", "_source")
 
 
+def row_hash(documents: DataFrame):
+    """What a document is told by: its id and text."""
+    return F.xxhash64("doc_id", "text")
+
+
 def count_tokens(documents: DataFrame, targets: DataFrame, folder: str = FOLDER, vocabulary: str = VOCABULARY) -> DataFrame:
-    """``(doc_id, source, n_tokens)`` of the documents whose source has a target, kept in the checkpoint folder."""
-    wanted = documents.join(targets.select("source").where("source is not null").distinct(), "source", "left_semi")
-    return checkpointed(token_counts(wanted, keep=("doc_id", "source"), folder=folder, vocabulary=vocabulary))
+    """``(doc_id, source, row, n_tokens)`` of the documents whose source has a target, kept in the checkpoint folder."""
+    wanted = documents.join(targets.select("source").where("source is not null").distinct(), "source", "left_semi").withColumn("row", row_hash(documents))
+    return checkpointed(token_counts(wanted, keep=("doc_id", "source", "row"), folder=folder, vocabulary=vocabulary))
+
+
+def _drawn(counts: DataFrame, plan: DataFrame, seed: int) -> DataFrame:
+    """``(doc_id, source, n_tokens, row, _copies)``: what each document of a targeted source is drawn for."""
+    return _copies(counts, plan, ["row"], seed)
 
 
 def mix(documents: DataFrame, targets: DataFrame, seed: int = 0, folder: str = FOLDER, vocabulary: str = VOCABULARY) -> DataFrame:
-    """``(doc_id, source, text, copy)``: the mixture, each chosen document once for every copy, in a global order by hash.
+    """``(doc_id, source, text, n_tokens, copy)``: the mixture, each chosen document once for every copy, in a global order by hash.
 
-    Documents without a source or of a source without target are not in it. A document without id draws by its text.
-    Empty tables give an empty mixture.
+    Documents without a source or of a source without target are not in it. Draws go by id and text, so those of repeated
+    rows are alike and a document without id draws by its text. Empty tables give an empty mixture.
     """
-    plan = checkpointed(mix_plan(count_tokens(documents, targets, folder, vocabulary), targets))
-    docs = documents.select("doc_id", "source", "text").withColumn("_id", F.coalesce(F.col("doc_id").cast("string"), F.col("text"), F.lit("")))
-    docs = _copies(docs, plan, ["_id"], seed).where("_copies > 0")
+    counts = count_tokens(documents, targets, folder, vocabulary)
+    plan = checkpointed(mix_plan(counts, targets))
+    docs = documents.select("doc_id", "source", "text").withColumn("row", row_hash(documents)).where("source is not null")
+    docs = _copies(docs, plan, ["row"], seed).where("_copies > 0")
+    n = counts.select("row", F.col("source").alias("_s"), "n_tokens").distinct()
+    docs = docs.join(n, (docs["row"] == n["row"]) & (docs["source"] == n["_s"])).select("doc_id", "source", "text", "n_tokens", docs["row"], "_copies")
     docs = docs.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    return docs.orderBy(F.xxhash64(F.lit(seed + 1), "_id", "copy")).select("doc_id", "source", "text", "copy")
+    return docs.orderBy(F.xxhash64(F.lit(seed + 1), "row", "copy")).select("doc_id", "source", "text", "n_tokens", "copy")
 
 
-def mix_report(documents: DataFrame, targets: DataFrame, seed: int = 0, folder: str = FOLDER, vocabulary: str = VOCABULARY) -> DataFrame:
-    """``(source, target_share, max_repeats, tokens, rate, capped, mixed_tokens, actual_share)`` of the mixture with this seed."""
+def replicated(documents: DataFrame, targets: DataFrame, seed: int = 0, folder: str = FOLDER, vocabulary: str = VOCABULARY) -> DataFrame:
+    """``(source, target_share, max_repeats, tokens, rate, capped, documents, copies, full, mixed_tokens)``: the plan beside what was drawn.
+
+    Every document of a targeted source is drawn for, by the same counts as in ``mix``: ``copies`` are those drawn in all,
+    ``full`` the documents drawn ``max_repeats`` times, ``mixed_tokens`` the tokens of all copies.
+    """
     counts = count_tokens(documents, targets, folder, vocabulary)
     plan = checkpointed(mix_plan(counts, targets))
-    docs = _copies(counts.withColumn("_id", F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), plan, ["_id"], seed)
-    used = docs.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("_copies")).alias("mixed_tokens"))
-    out = plan.join(used, "source", "left").withColumn("mixed_tokens", F.coalesce("mixed_tokens", F.lit(0)))
-    out = checkpointed(out)
+    most = plan.select("source", F.col("max_repeats").alias("_most"))
+    docs = _drawn(counts, plan, seed).join(F.broadcast(most) if plan.limit(TARGETS + 1).count() <= TARGETS else most, "source")
+    used = docs.groupBy("source").agg(F.count("*").alias("documents"), F.sum("_copies").alias("copies"), F.count_if(F.col("_copies") >= F.col("_most")).alias("full"), F.sum(F.col("n_tokens") * F.col("_copies")).alias("mixed_tokens"))
+    out = plan.drop("cuts", "wanted_tokens").join(used, "source", "left")
+    return checkpointed(out.select(*plan.drop("cuts", "wanted_tokens").columns, *[F.coalesce(c, F.lit(0)).alias(c) for c in ("documents", "copies", "full", "mixed_tokens")]))
+
+
+def short_sources(documents: DataFrame, targets: DataFrame, seed: int = 0, folder: str = FOLDER, vocabulary: str = VOCABULARY) -> DataFrame:
+    """``(source)`` of the targets that can't reach their share: each of their documents is drawn ``max_repeats`` times and
+    all copies together still have less than the share of T. Sources without documents have none."""
+    r = replicated(documents, targets, seed, folder, vocabulary)
+    total = r.agg(F.coalesce(F.sum("tokens"), F.lit(0))).scalar()
+    return r.where((F.col("full") == F.col("documents")) & (F.col("mixed_tokens") < F.col("target_share") * total)).select("source")
+
+
+def mix_report(documents: DataFrame, targets: DataFrame, seed: int = 0, folder: str = FOLDER, vocabulary: str = VOCABULARY) -> DataFrame:
+    """``(source, target_share, max_repeats, tokens, rate, capped, mixed_tokens, actual_share)`` of the mixture with this seed."""
+    out = replicated(documents, targets, seed, folder, vocabulary)
     total = out.agg(F.sum("mixed_tokens")).scalar()
     share = F.coalesce(F.try_divide(F.col("mixed_tokens"), total), F.lit(0.0))
     return out.select("source", "target_share", "max_repeats", "tokens", "rate", "capped", "mixed_tokens", share.alias("actual_share"))

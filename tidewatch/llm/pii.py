@@ -363,6 +363,18 @@ def field(n_examples: int = 6000, folder: str = FOLDER) -> Field:
     return _FIELDS[key]
 
 
+_TAGGERS: dict[tuple[int, float], Tagger] = {}
+
+
+def _tagger(m: Field) -> Tagger:
+    """The process's tagger, whose token rows serve all tasks of a worker."""
+    key = (len(m.names), float(m.emit.sum()))
+    if key not in _TAGGERS:
+        _TAGGERS.clear()
+        _TAGGERS[key] = Tagger(m)
+    return _TAGGERS[key]
+
+
 def _tagged(texts: list[str | None], tagger: Tagger) -> list[list[tuple[int, int, str]]]:
     """Spans of each text, decoded in portions of about ``_CHARS`` characters; a text is never split."""
     out: list[list[tuple[int, int, str]]] = []
@@ -394,7 +406,7 @@ def replace_pii(df: DataFrame, text: str = "text_raw", keep: tuple[str, ...] = (
     rows = df.select(*keep, F.col(text).alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tagger = Tagger(m)
+        tagger = _tagger(m)
         for b in batches:
             texts = b.column(b.num_columns - 1).to_pylist()
             spans = _tagged(texts, tagger)
@@ -412,7 +424,7 @@ def kinds_found(df: DataFrame, text: str = "text_raw", rid: str = "review_id", m
     rows = df.select(F.col(rid).alias("review_id"), F.col(text).alias("_text")).where(F.col("_text").isNotNull())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tagger = Tagger(m)
+        tagger = _tagger(m)
         for b in batches:
             spans = _tagged(b.column(1).to_pylist(), tagger)
             at = [(i, k) for i, s in enumerate(spans) for k in {k for _, _, k in s}]

@@ -31,12 +31,13 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    """Per group, from one sketch for each day's values, merged."""
-    t = table(spark, d, "feature_series")
+    """Per group, from one sketch for each calendar month, merged; values are told within a thousandth."""
     keys = ("sku", "indicator_id", "feature")
-    days = quantiles.sketch(t, (*keys, "window_end"), "raw_value", once_per=("window_end",))
-    whole = days.groupBy(*keys, "bucket").agg(F.sum("count").alias("count"))
-    return quantiles.percentiles(whole, quantiles.QUARTILES)
+    t = table(spark, d, "feature_series").withColumn("month", F.date_format("window_end", "yyyy-MM"))
+    once = quantiles.distinct_values(t, (*keys, "month"), "raw_value", ("window_end",))
+    months = quantiles.sketch(once, (*keys, "month"), "raw_value")
+    early, late = months.where("month < '2024-07'").drop("month"), months.where("month >= '2024-07'").drop("month")
+    return quantiles.percentiles(quantiles.merge(early, late), quantiles.QUARTILES)
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -55,10 +56,15 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode(table(spark, d, "documents"))
 
 
+def p8_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """Every text that does not come back from its ids, and how many did."""
+    back = tokens.decode(tokens.encode(table(spark, d, "documents"), keep=("doc_id", "text")), keep=("doc_id", "text"))
+    same = F.col("decoded") == F.coalesce("text", F.lit(""))
+    return back.groupBy(same.alias("same")).agg(F.count("*").alias("documents"), F.sum(F.coalesce(F.length("text"), F.lit(0))).cast("bigint").alias("chars"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    targets = table(spark, d, "mix_targets")
-    counts = mixing.count_tokens(table(spark, d, "documents"), targets)
-    return mixing.mix_plan(counts, targets).where("capped").select("source")
+    return mixing.short_sources(table(spark, d, "documents"), table(spark, d, "mix_targets"))
 
 
 def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
@@ -77,4 +83,4 @@ def p10_segments(spark: SparkSession, d: str) -> DataFrame:
     return languages.segment(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_masked, p2_found, p2_groups, p3_found, p3_percentiles, p6_found, p6_forms, p6_groups, p8_ids, p9_found, p9_mixture, p9_report, p10_found, p10_segments)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_masked, p2_found, p2_groups, p3_found, p3_percentiles, p6_found, p6_forms, p6_groups, p8_ids, p8_roundtrip, p9_found, p9_mixture, p9_report, p10_found, p10_segments)}

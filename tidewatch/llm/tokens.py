@@ -5,10 +5,13 @@ the last token of the encoding of the bytes up to there. A token t may end at a
 the last token at t's start, is compatible: the merge list encodes the two tokens' bytes as just these two tokens.
 Encodings of byte-level BPE are exactly the chains of pairwise compatible tokens, so one token qualifies at each position.
 
-Sufficient lookahead: a token of the final encoding covers at most L bytes, L being the longest vocabulary entry
-that the merge list builds. Whatever follows, the final chain passes through one of the last L positions read, so the
-tokens shared by the chains of all of these are stable and are emitted; only what lies behind them is kept. A pretoken
-without an end (a text of one letter a million times) is thus encoded in constant memory.
+Sufficient lookahead: ``reach`` computes it from the merge list. A token of a final encoding is an entry that the merges
+build from its bytes (``merged`` of the entry gives the entry alone); L is the greatest length of these, over the entries
+that begin with the byte at hand: a token that begins at a byte b ends within L(b) bytes. Whatever follows, the final
+chain passes from some position into the unread, and that token began at most L(b) before; so only the positions whose
+byte's L reaches the end of what is read can be its start. The tokens shared by the chains of all of these are stable and
+are emitted; only what lies behind them is kept. A pretoken without an end (a text of one letter a million times) is thus
+encoded in constant memory.
 
 Split points need at most three further characters, so texts of any length are read in pieces.
 """
@@ -52,11 +55,25 @@ class Encoder:
             ends.setdefault(w[-1], set()).add(len(w))
         for b, n in ends.items():
             self.lengths[b] = tuple(sorted(n, reverse=True))
+        self.reach = self._reach()
         self._fits: dict[tuple[int, int], bool] = {}
         self._known: dict[str, tuple[int, ...]] = {}
         self._split = regex.compile(PATTERN)
         self._kinds = [regex.compile(p) for p in (r"\p{L}+", r"\p{N}+", r"\s+", r"[^\s\p{L}\p{N}]+")]
 
+    def _reach(self) -> list[int]:
+        """For each first byte the most bytes of a token that the merge list builds.
+
+        An entry is built if two shorter built entries join to it; entries are met in order of rank, in which a merge's
+        parts come before it.
+        """
+        built, reach = {bytes([b]) for b in range(256)}, [1] * 256
+        for w in self.ids:  # in order of rank
+            if len(w) > 1 and any(w[:i] in built and w[i:] in built for i in range(1, len(w))):
+                built.add(w)
+                reach[w[0]] = max(reach[w[0]], len(w))
+        return reach
+
     def merged(self, data: bytes) -> list[int]:
         """The merge list applied to ``data`` in order of rank: what defines an encoding."""
         parts = [data[i : i + 1] for i in range(len(data))]
@@ -143,7 +160,7 @@ class Encoder:
         """Text of the ids as it becomes certain: a byte-to-text state machine holds up to three bytes of a character."""
         state = codecs.getincrementaldecoder("utf-8")("replace")
         for i in ids:
-            if text := state.decode(self.bytes_of[i]):
+            if text := state.decode(self.bytes_of.get(i, b"\xff")):
                 yield text
         if text := state.decode(b"", True):
             yield text
@@ -187,8 +204,9 @@ class Transducer:
 
     def _emit(self) -> Iterator[int]:
         """The tokens shared by the chains of all positions within the lookahead."""
-        n, back = len(self.data), self.back
-        heads = set(range(max(1, n - self.e.longest + 1), n + 1))
+        n, back, reach = len(self.data), self.back, self.e.reach
+        # the chain ends here, or its next token begins at a position whose byte reaches beyond the end
+        heads = {n, *(i for i in range(max(1, n - self.e.longest + 1), n) if i + reach[self.data[i]] > n)}
         while len(heads) > 1:  # the latest position steps back until one is left
             at = max(heads)
             heads.discard(at)
@@ -255,3 +273,20 @@ def token_counts(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("do
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], n], names=[*b.schema.names[:-1], "n_tokens"])
 
     return spread(rows).mapInArrow(run, f"{kinds}, n_tokens int")
+
+
+def decode(df: DataFrame, ids: str = "ids", keep: tuple[str, ...] = ("doc_id",), folder: str = FOLDER, vocabulary: str = VOCABULARY) -> DataFrame:
+    """``(keep..., decoded string)``: the text of every list of ids, by the incremental byte-to-text machine; empty for null and empty lists.
+
+    Bytes that are no text come out as replacement characters, as do ids that the vocabulary lacks.
+    """
+    rows = df.select(*keep, F.col(ids).alias("_ids"))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[:-1])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        e = encoder(folder, vocabulary)
+        for b in batches:
+            texts = pa.array(["".join(e.decode(x)) if x else "" for x in b.column(b.num_columns - 1).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], texts], names=[*b.schema.names[:-1], "decoded"])
+
+    return spread(rows).mapInArrow(run, f"{kinds}, decoded string")
