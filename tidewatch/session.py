@@ -31,12 +31,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def partitions_of(df: DataFrame) -> int:
+    """The partitions of a plain scan; 0 for other plans, as to ask them would run them."""
+    q = df._jdf.queryExecution()
+    return 0 if q.executedPlan().nodeName() == "AdaptiveSparkPlan" else q.toRdd().getNumPartitions()
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` over at least as many partitions as there are cores, for costly steps on small inputs; larger inputs are not shuffled.
 
     Only plain scans are looked at: a plan with exchanges is partitioned by them, and to ask it would run it.
     """
-    q, cores = df._jdf.queryExecution(), df.sparkSession.sparkContext.defaultParallelism
-    if q.executedPlan().nodeName() == "AdaptiveSparkPlan" or q.toRdd().getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores)
+    cores, parts = df.sparkSession.sparkContext.defaultParallelism, partitions_of(df)
+    return df if parts == 0 or parts >= cores else df.repartition(cores)
