@@ -42,6 +42,20 @@ def test_pairs_equal_brute_force(spark, rows):
     assert rows(nd.near_pairs(frame(spark, recs + recs[:20]))) == brute(recs)
 
 
+def test_wider_bands_for_larger_groups_lose_nothing(spark, monkeypatch, rows):
+    recs = records(2) + [(f"q{i}", "s9", t) for i, (_, s, t) in enumerate(records(3, 8))]
+    for small in (1, 10):
+        monkeypatch.setattr(nd, "SMALL", small)
+        r = {x["sku"]: x["r"] for x in nd.widths(nd.classes(frame(spark, recs))).collect()}
+        assert len(set(r.values())) > 1 or small == 10
+        assert rows(nd.near_pairs(frame(spark, recs))) == brute(recs)
+
+
+def test_reach_of_the_bands():
+    for r in range(nd.FIRST, nd.LAST + 1):
+        assert 1 - (1 - 0.7**r) ** nd.bands_of(r) >= 0.997
+
+
 def test_odd_records(spark, rows):
     t = " ".join(f"v{i}" for i in range(40))
     recs = [("a", "s", t), ("b", "s", t), ("c", None, t), ("d", "s", None), (None, "s", t), ("e", "s", ""), ("f", "s", "short one"), ("g", "s", t + " "), ("h", "s", "  ".join(t.split()))]
@@ -55,11 +69,14 @@ def test_very_long_text(spark, rows):
     assert rows(nd.near_pairs(frame(spark, recs))) == [("a", "b")]
 
 
-def test_many_copies_become_a_star_without_losing_links(spark, monkeypatch, rows):
-    monkeypatch.setattr(nd, "COPIES", 5)
+def test_many_copies_become_a_star_without_losing_links(spark, rows):
     t = " ".join(f"v{i}" for i in range(40))
     recs = [(f"a{i}", "s", t) for i in range(8)] + [("b", "s", t + " x")]
-    assert rows(nd.near_pairs(frame(spark, recs))) == sorted([("a0", f"a{i}") for i in range(1, 8)] + [("a0", "b")])
+    assert rows(nd.near_pairs(frame(spark, recs), copies=5)) == sorted([("a0", f"a{i}") for i in range(1, 8)] + [("a0", "b")])
+    assert rows(nd.near_pairs(frame(spark, recs), copies=None)) == brute(recs) == rows(nd.near_pairs(frame(spark, recs)))
+    g = {r["review_id"]: r for r in nd.near_groups(frame(spark, recs)).collect()}
+    assert len(g) == 9 and len({r["group_id"] for r in g.values()}) == 1 and len({r["class_id"] for r in g.values()}) == 2
+    assert {(r["copies"], r["links"]) for r in g.values()} == {(8, 1), (1, 1)}
 
 
 def test_groups(spark):
@@ -78,7 +95,8 @@ def test_components_of_a_long_chain(spark):
 def test_signatures_are_minima_over_shifted_values():
     rows = nd.slices()
     places = {}
-    sig = nd.signatures(["a b c", "c a b", "a"], rows, places)
+    sig, size = nd.signatures(["a b c", "c a b", "a a"], rows, places)
+    assert list(size) == [3, 3, 1]
     assert (sig[0] == sig[1]).all()
     assert (sig[0] == np.min([rows[places[w]] for w in "abc"], axis=0)).all()
     assert (rows[5][1:] == rows[6][:-1]).all()

@@ -3,16 +3,20 @@
 Records of one group (sku) with the same text are one class; only classes are compared. A class's words are hashed to
 positions of a universe (the first permutation); the second permutation, shifted circularly by k, gives the k-th signature
 coordinate as its least value over the words. Two permutations thus serve all coordinates: a word contributes a
-contiguous slice of the second one. ``ROWS`` coordinates make a band and classes that share a band are candidates; 128
-further coordinates give one bit each, and a candidate pair whose bits differ in more than ``DIFFER`` places is dropped
-within the join. What remains is verified exactly on the words.
+contiguous slice of the second one. Some coordinates make a band and classes that share a band are candidates.
 
-Reach at the threshold 0.7: a pair shares a band with 1 - (1 - 0.7^5)^32 = 0.997 and passes the bits with 0.9996; at 0.75
-both are above 0.9999.
+The width r of a band follows the size of the group, one more for every fivefold size, and the number of bands follows r so
+that a pair at the threshold 0.7 shares one with 0.997: candidates of unlike texts, which fall fivefold with every further
+coordinate at the usual overlap of 0.2, then grow in proportion to the records and not with the square of a large group.
+``BITS`` further coordinates give one bit each; a pair whose bits differ in more than ``DIFFER`` places, or whose numbers of
+words are too far apart for the threshold, is dropped within the join. What remains is verified exactly on the words.
+
+Reach at the threshold 0.7: 0.997 by bands and 0.9996 by bits; at 0.75 both are above 0.9999.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,25 +25,36 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.session import checkpointed
+from tidewatch.session import checkpointed, partitions_of
 
-BANDS, ROWS, BITS, DIFFER = 32, 5, 128, 33
-COORDINATES = BANDS * ROWS + BITS
+BITS, DIFFER = 56, 18
 UNIVERSE = 1 << 20
 MIN_WORDS, NUMERATOR, DENOMINATOR = 30, 7, 10
-#: Classes of up to this many copies come out as all their pairs; beyond it each copy is linked to the class's first record, which stands for it.
+#: Groups of up to this many records get bands of the first width; every fivefold size one coordinate more.
+SMALL, FIRST, LAST = 100, 3, 9
+#: Classes of up to this many copies come out as all their pairs (``None``: all do); beyond it each copy is linked to the class's first record.
 COPIES = 200
+#: A table of group sizes of up to this many rows is broadcast, a larger one joined by a shuffle.
+BROADCAST_ROWS = 200_000
 _STEP, _BLOCK = 256, 1 << 14
 
 
+def bands_of(rows: int, reach: float = 0.997) -> int:
+    """The number of bands of ``rows`` coordinates of which a pair at the threshold shares one with probability ``reach``."""
+    return math.ceil(math.log(1 - reach) / math.log(1 - (NUMERATOR / DENOMINATOR) ** rows))
+
+
+COORDINATES = BITS + LAST * bands_of(LAST)
+
+
 def slices(seed: int = 20) -> np.ndarray:
     """Row p: the values of the second permutation at positions p .. p + COORDINATES - 1, going round."""
     perm = np.random.default_rng(seed).permutation(UNIVERSE).astype(np.uint32)
     return np.lib.stride_tricks.sliding_window_view(np.concatenate([perm, perm[: COORDINATES - 1]]), COORDINATES)
 
 
-def signatures(texts: list[str], rows: np.ndarray, places: dict[str, int]) -> np.ndarray:
-    """Signatures (texts x COORDINATES) of the sets of words at single spaces."""
+def signatures(texts: list[str], rows: np.ndarray, places: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures (texts x coordinates) of the sets of words at single spaces, and the sizes of the sets."""
     flat: list[int] = []
     starts = []
     for t in texts:
@@ -58,29 +73,38 @@ def signatures(texts: list[str], rows: np.ndarray, places: dict[str, int]) -> np
         a, b = np.searchsorted(first, lo, "right") - 1, np.searchsorted(first, hi, "left")
         part = np.minimum.reduceat(rows[at[lo:hi]], np.maximum(first[a:b] - lo, 0), axis=0)
         np.minimum(out[a:b], part, out=out[a:b])
-    return out
+    return out, np.diff(np.append(first, len(at)))
+
+
+#: Steps of a group size per e-fold, in the eight bits that tell the number of words.
+_SIZE_STEPS = 20
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rows, places = slices(), {}
+    mult = np.random.default_rng(21).integers(1, 1 << 63, LAST, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    salt = np.random.default_rng(22).integers(1, 1 << 63, bands_of(LAST), dtype=np.uint64)
     with np.errstate(over="ignore"):
-        mult = np.random.default_rng(21).integers(1, 1 << 63, ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        salt = np.random.default_rng(22).integers(1, 1 << 63, BANDS, dtype=np.uint64)
         for b in batches:
-            ids, group, texts = b.column(0).to_numpy(), b.column(1).to_numpy().view(np.uint64), b.column(2).to_pylist()
-            for lo in range(0, len(texts), _STEP):
-                sig = signatures(texts[lo : lo + _STEP], rows, places)
-                n = len(sig)
-                v = sig[:, : BANDS * ROWS].reshape(n, BANDS, ROWS).astype(np.uint64) + np.uint64(1)
-                key = (v * mult).sum(axis=2, dtype=np.uint64) + salt + group[lo : lo + n, None]
-                key ^= key >> np.uint64(31)
-                key *= np.uint64(0x9E3779B97F4A7C15)
-                key ^= key >> np.uint64(29)
-                key *= np.uint64(0xBF58476D1CE4E5B9)
-                key ^= key >> np.uint64(32)
-                bits = np.packbits((sig[:, BANDS * ROWS :] & 1).astype(np.uint8), axis=1).view(np.int64)
-                out = [pa.array(key.view(np.int64).ravel()), *[pa.array(np.repeat(x, BANDS)) for x in (ids[lo : lo + n], bits[:, 0], bits[:, 1])]]
-                yield pa.RecordBatch.from_arrays(out, names=["key", "c", "s0", "s1"])
+            ids, group, widths, all_texts = b.column(0).to_numpy(), b.column(1).to_numpy().view(np.uint64), b.column(2).to_numpy(), b.column(3)
+            for r in np.unique(widths):
+                mine = np.flatnonzero(widths == r)
+                n_bands = bands_of(int(r))
+                texts = all_texts.take(pa.array(mine)).to_pylist()
+                for lo in range(0, len(texts), _STEP):
+                    sig, size = signatures(texts[lo : lo + _STEP], rows[:, : BITS + r * n_bands], places)
+                    part, n = mine[lo : lo + _STEP], len(sig)
+                    v = sig[:, BITS:].reshape(n, n_bands, r).astype(np.uint64) + np.uint64(1)
+                    key = (v * mult[:r]).sum(axis=2, dtype=np.uint64) + salt[:n_bands] + group[part, None]
+                    key ^= key >> np.uint64(31)
+                    key *= np.uint64(0x9E3779B97F4A7C15)
+                    key ^= key >> np.uint64(29)
+                    key *= np.uint64(0xBF58476D1CE4E5B9)
+                    key ^= key >> np.uint64(32)
+                    steps = np.minimum(_SIZE_STEPS * np.log(size), 255).astype(np.uint8)
+                    bits = np.concatenate([np.packbits((sig[:, :BITS] & 1).astype(np.uint8), axis=1), steps[:, None]], axis=1).view(np.int64)[:, 0]
+                    out = [pa.array(key.view(np.int64).ravel()), *[pa.array(np.repeat(x, n_bands)) for x in (ids[part], bits)]]
+                    yield pa.RecordBatch.from_arrays(out, names=["key", "c", "s"])
 
 
 def _words(c: str):
@@ -94,14 +118,31 @@ def classes(df: DataFrame, rid: str = "review_id", group: str = "sku", text: str
     return t.withColumn("c", F.xxhash64("sku", "text")).withColumn("c2", F.xxhash64(F.lit(1), "text", "sku"))
 
 
+def widths(cls: DataFrame) -> DataFrame:
+    """``(sku, r)``: the band width of each group, by its number of records; groups of the first width are left out."""
+    n = cls.groupBy("sku").agg(F.count("*").alias("n")).where(F.col("n") > SMALL)
+    return n.select("sku", F.least(F.lit(LAST), F.lit(FIRST) + F.ceil(F.log(F.col("n") / SMALL) / math.log(5))).cast("int").alias("r"))
+
+
+def representatives(cls: DataFrame) -> DataFrame:
+    """``(c, c2, sku, text, r)``: each class once with its band width, kept in the checkpoint folder in partitions by ``c``."""
+    w = checkpointed(widths(cls))
+    w = F.broadcast(w) if w.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else w
+    wide = cls.select("c", "c2", "sku", "text").join(w, "sku", "left").withColumn("r", F.coalesce("r", F.lit(FIRST)))
+    parts = max(int(cls.sparkSession.conf.get("spark.sql.shuffle.partitions")), partitions_of(cls))
+    return checkpointed(wide.repartition(parts, "c").dropDuplicates(["c", "c2"]).select("c", "c2", "sku", "text", "r"))
+
+
 def class_links(cls: DataFrame) -> DataFrame:
     """``(ca, ca2, cb, cb2)``: pairs of classes of one sku whose words overlap by at least the threshold."""
-    reps = cls.select("c", "c2", "sku", "text").distinct()
-    keys = reps.select("c", F.xxhash64("sku").alias("g"), "text").mapInArrow(_bands, "key bigint, c bigint, s0 bigint, s1 bigint")
-    a, b = (keys.select("key", F.col("c").alias(f"c{x}"), F.col("s0").alias(f"{x}0"), F.col("s1").alias(f"{x}1")) for x in "ab")
-    near = F.bit_count(F.col("a0").bitwiseXOR(F.col("b0"))) + F.bit_count(F.col("a1").bitwiseXOR(F.col("b1"))) <= DIFFER
-    pairs = a.join(b.hint("merge"), "key").where((F.col("ca") < F.col("cb")) & near).select("ca", "cb").distinct()
-    reps = reps.repartition("c")  # one exchange for both sides
+    reps = representatives(cls)
+    keys = reps.select("c", F.xxhash64("sku").alias("g"), "r", "text").mapInArrow(_bands, "key bigint, c bigint, s bigint")
+    a, b = (keys.select("key", F.col("c").alias(f"c{x}"), F.col("s").alias(f"s{x}")) for x in "ab")
+    # the last byte in memory, the size of the set, is the highest of the number
+    far = F.bit_count(F.shiftleft(F.col("sa").bitwiseXOR(F.col("sb")), 8))
+    apart = F.abs(F.shiftrightunsigned("sa", 56) - F.shiftrightunsigned("sb", 56))
+    alike = (far <= DIFFER) & (apart <= math.ceil(_SIZE_STEPS * math.log(DENOMINATOR / NUMERATOR)) + 1)
+    pairs = a.join(b.hint("merge"), "key").where((F.col("ca") < F.col("cb")) & alike).select("ca", "cb").distinct()
     ta = reps.select(F.col("c").alias("ca"), F.col("c2").alias("ca2"), F.col("sku").alias("sa"), F.col("text").alias("ta"))
     tb = reps.select(F.col("c").alias("cb"), F.col("c2").alias("cb2"), F.col("sku").alias("sb"), F.col("text").alias("tb"))
     both = pairs.join(ta, "ca").join(tb, "cb")
@@ -117,22 +158,24 @@ def _members(cls: DataFrame) -> DataFrame:
     return m.join(m.groupBy("c", "c2").agg(F.count("*").alias("n"), F.min("rid").alias("first")), ["c", "c2"])
 
 
-def near_pairs(df: DataFrame, rid: str = "review_id", group: str = "sku", text: str = "text_norm") -> DataFrame:
+def near_pairs(df: DataFrame, rid: str = "review_id", group: str = "sku", text: str = "text_norm", copies: int | None = COPIES) -> DataFrame:
     """``(review_id_a, review_id_b)``, a < b: records of one sku whose sets of words are similar enough, each pair once.
 
     Records with a null id, sku or text and those of fewer than ``MIN_WORDS`` distinct words have no pair; repeated rows
-    are one record. A class of more than ``COPIES`` copies of one text comes out as its first record with each of the
-    others, and the first record alone carries its links to other texts. Extra columns are ignored; empty gives empty.
+    are one record. A class of more than ``copies`` copies of one text comes out as its first record with each of the
+    others, and the first record alone carries its links to other texts; ``near_groups`` tells the class of every record,
+    and ``copies=None`` writes all pairs. Extra columns are ignored; empty gives empty.
     """
     cls = classes(df, rid, group, text)
     links = class_links(cls)
     m = _members(cls)
-    speak = m.where((F.col("n") <= COPIES) | (F.col("rid") == F.col("first")))
+    few = F.lit(True) if copies is None else F.col("n") <= copies
+    speak = m.where(few | (F.col("rid") == F.col("first")))
     ma, mb = (speak.select(F.col("c").alias(f"c{x}"), F.col("c2").alias(f"c{x}2"), F.col("rid").alias(f"r{x}")) for x in "ab")
     across = links.join(ma, ["ca", "ca2"]).join(mb, ["cb", "cb2"]).select("ra", "rb")
-    copies = m.where("n > 1")
-    x, y = copies.select("c", "c2", "n", "first", F.col("rid").alias("ra")), copies.select("c", "c2", F.col("rid").alias("rb"))
-    same = x.where((F.col("n") <= COPIES) | (F.col("ra") == F.col("first"))).join(y, ["c", "c2"]).where("ra < rb").select("ra", "rb")
+    more = m.where("n > 1")
+    x, y = more.select("c", "c2", "n", "first", F.col("rid").alias("ra")), more.select("c", "c2", F.col("rid").alias("rb"))
+    same = x.where(few | (F.col("ra") == F.col("first"))).join(y, ["c", "c2"]).where("ra < rb").select("ra", "rb")
     pairs = across.select(F.least("ra", "rb").alias("review_id_a"), F.greatest("ra", "rb").alias("review_id_b")).where("review_id_a < review_id_b")
     return pairs.unionByName(same.select(F.col("ra").alias("review_id_a"), F.col("rb").alias("review_id_b"))).distinct()
 
@@ -158,13 +201,16 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_groups(df: DataFrame, rid: str = "review_id", group: str = "sku", text: str = "text_norm") -> DataFrame:
-    """``(review_id, group_id, copies)``: one row for each record of enough words; ``group_id`` is the hash of the group's first class.
+    """``(review_id, class_id, group_id, copies, links)``: one row for each record of enough words.
 
-    Groups are the connected classes; ``copies`` counts the records with this very text.
+    ``class_id`` stands for sku and very text, ``copies`` counts its records and ``links`` the classes it is similar to; groups
+    are the connected classes and ``group_id`` is the least class of the group. Nulls and repeated rows as in ``near_pairs``.
     """
     cls = classes(df, rid, group, text)
-    links = class_links(cls)
     node = lambda c, d: F.format_string("%016x%016x", F.col(c), F.col(d))
-    roots = components(links.select(node("ca", "ca2").alias("u"), node("cb", "cb2").alias("v")))
+    links = checkpointed(class_links(cls).select(node("ca", "ca2").alias("u"), node("cb", "cb2").alias("v")))
+    degree = links.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
+    known = components(links).join(degree, "node")
     m = _members(cls).select("rid", node("c", "c2").alias("node"), F.col("n").alias("copies"))
-    return m.join(roots, "node", "left").select(F.col("rid").alias("review_id"), F.coalesce("root", "node").alias("group_id"), "copies")
+    out = m.join(known, "node", "left")
+    return out.select(F.col("rid").alias("review_id"), F.col("node").alias("class_id"), F.coalesce("root", "node").alias("group_id"), "copies", F.coalesce("links", F.lit(0)).alias("links"))
