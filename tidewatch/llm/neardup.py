@@ -31,7 +31,7 @@ BITS, DIFFER = 56, 18
 UNIVERSE = 1 << 20
 MIN_WORDS, NUMERATOR, DENOMINATOR = 30, 7, 10
 #: Groups of up to this many records get bands of the first width; every fivefold size one coordinate more.
-SMALL, FIRST, LAST = 100, 3, 9
+SMALL, FIRST, LAST = 1000, 3, 9
 #: Classes of up to this many copies come out as all their pairs (``None``: all do); beyond it each copy is linked to the class's first record.
 COPIES = 200
 #: A table of group sizes of up to this many rows is broadcast, a larger one joined by a shuffle.
@@ -168,7 +168,7 @@ def near_pairs(df: DataFrame, rid: str = "review_id", group: str = "sku", text:
     """
     cls = classes(df, rid, group, text)
     links = class_links(cls)
-    m = _members(cls)
+    m = checkpointed(_members(cls))
     few = F.lit(True) if copies is None else F.col("n") <= copies
     speak = m.where(few | (F.col("rid") == F.col("first")))
     ma, mb = (speak.select(F.col("c").alias(f"c{x}"), F.col("c2").alias(f"c{x}2"), F.col("rid").alias(f"r{x}")) for x in "ab")
