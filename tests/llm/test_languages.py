@@ -1,3 +1,6 @@
+import random
+from pathlib import Path
+
 import numpy as np
 import pytest
 from tidewatch.llm import languages as lg
@@ -64,3 +67,27 @@ def test_fit_forgives_wrong_labels(spark):
 
 def rows_of(df):
     return {tuple(r) for r in df.collect()}
+
+
+def test_unknown_languages_and_letters_have_none(spark):
+    table = "/root/testdata/sf0.01/documents.parquet"
+    if not Path(table).exists():
+        pytest.skip("needs the test tables")
+    m = lg.trained(spark.read.parquet(table))
+    for t in ("Это русский текст о погоде и о чае. Сегодня хорошо.", "これは日本語の文章です。今日はいい天気。", "Tämä on suomenkielinen lause joka kertoo säästä ja teestä.", "zzzz qqqq xkcd wwww", "Ez egy magyar mondat a teáról és az időjárásról."):
+        assert langs(m, t) == [], t
+    got = lg.segment(spark.createDataFrame([(1, "Это русский текст о погоде и о чае.")], "doc_id bigint, text string"), m).collect()
+    assert [(r["lang"], r["confidence"] > 0.9) for r in got] == [(None, True)]
+    # short pieces: the mean confidence is about the share that is right, judged by what the whole text is in
+    r, pieces = random.Random(1), {1: [], 2: [], 4: []}
+    for row in spark.read.parquet(table).where("length(text) > 200").orderBy("doc_id").collect():
+        whole = langs(m, row["text"])
+        words = [w for s in lg.sentences(lg.clean(row["text"])) for w in s[2]]
+        if len(whole) == 1 and len(words) > 20:
+            for k, out in pieces.items():
+                i = r.randrange(len(words) - k)
+                out.append((words[i : i + k], whole[0]))
+    for k, out in pieces.items():
+        c = lg.confidence(m.scores([w for w, _ in out]))
+        right = np.mean([x != lg.OTHER and lg.LANGUAGES[x] == t for x, (_, t) in zip(c.argmax(1), out)])
+        assert abs(right - c.max(1).mean()) < 0.12 and (k > 1 or c.max(1).min() < 0.6), (k, right, c.max(1).mean())
