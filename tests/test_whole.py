@@ -1,9 +1,11 @@
 """Queries over all eleven indicators, which no SQL follows, by brute force over the matrix."""
 
 import datetime as dt
+import random
 
 import pytest
-from tidewatch.operators import score
+from tidewatch.operators import detect, medians, score
+from tidewatch.operators.features import VOCABULARY
 from tidewatch.plans import reviews as plan
 
 DAY = dt.date(2024, 1, 1)
@@ -45,11 +47,11 @@ def brute(matrix):
 
 def test_alerts_of_all_indicators(spark, folder):
     want = brute(plan.QUERIES["indicator_matrix"](spark, folder).collect())
-    got = {(r["sku"], r["window_end"]): (r["score"], r["persist"], r["level"], r["groups_active"], r["ids"]) for r in plan.QUERIES["alerts_all"](spark, folder).collect()}
+    got = {(r["sku"], r["window_end"]): (r["score"], r["persist"], r["level"], r["groups_active"], r["ids"]) for r in plan.QUERIES["alerts"](spark, folder).collect()}
     assert got == want
     assert {k[0] for k in got} == {"trend", "wild"} and {v[4] for v in got.values()} >= {"3", "5"}
-    assert {r["sku"] for r in plan.QUERIES["latest_alert_all"](spark, folder).collect()} == {"trend", "wild"}
-    assert {r["indicator_id"] for r in plan.QUERIES["indicator_breakdown_all"](spark, folder).collect()} == {"I1", "I3", "I5"}
+    assert {r["sku"] for r in plan.QUERIES["latest_alert"](spark, folder).collect()} == {"trend", "wild"}
+    assert {r["indicator_id"] for r in plan.QUERIES["indicator_breakdown"](spark, folder).collect()} == {"I1", "I3", "I5"}
 
 
 def test_ablation_keeps_the_alerts_and_their_thresholds(spark, folder):
@@ -71,6 +73,36 @@ def test_crises_reach_all_indicators(spark, folder):
     assert fired["control", "I1"] == 0
 
 
-def test_each_query_over_the_alerts_has_a_whole_form():
+def test_each_query_over_the_alerts_has_a_plain_form():
     short = {n for n, q in plan.SQL.items() if "mx AS" in q}
-    assert short and {f"{n}_all" for n in short} == {n for n in plan.QUERIES if n.endswith("_all")}
+    assert short and short == {n for n in plan.QUERIES if n.endswith("_plain")} and all(n.removesuffix("_plain") in plan.QUERIES for n in short)
+
+
+def test_one_pass_gives_what_each_indicator_gives(spark):
+    """Series with gaps, nulls, few values and several categories, through both ways."""
+    r, rows = random.Random(3), []
+    names = [(i, f) for i, fs in VOCABULARY.items() for f in fs]
+    for sku in range(6):
+        for i, f in names:
+            if r.random() < 0.2:
+                continue
+            start, level = r.randrange(5), r.uniform(0.1, 2)
+            for k in range(start, r.choice([12, 70, 110])):
+                if r.random() < 0.85:
+                    v = None if r.random() < 0.05 else level * (1 + 0.2 * r.random()) * (4 if k % 50 > 44 else 1)
+                    rows.append((f"s{sku}", f"c{sku % 2}", DAY + dt.timedelta(days=k), i, f, v if v is None or "share" not in f else min(v, 0.9), r.randrange(0, 40)))
+    f = spark.createDataFrame(rows, SERIES)
+    show = lambda m: sorted((x["sku"], x["window_end"], x["indicator_id"], x["triggered"], round(x["strength"], 9)) for x in m.collect())
+    one = show(detect.indicator_matrix(f))
+    each = None
+    for k in detect.INDICATORS:
+        each = detect.INDICATORS[k](f) if each is None else each.unionByName(detect.INDICATORS[k](f))
+    assert one == show(each) and len({x[2] for x in one}) == 11 and sum(x[3] for x in one) > 20
+    assert detect.indicator_matrix(f.limit(0)).count() == 0
+
+
+def test_medians_of_large_groups_are_exact(spark):
+    r = random.Random(4)
+    rows = [("a", float(r.choice([0, 0, 0, 1, -3]))) for _ in range(301)] + [("b", r.gauss(0, 5)) for _ in range(400)] + [("c", 2.5), ("d", None), ("e", -1e300), ("e", 1e-300)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    assert sorted(map(tuple, medians.selected(df, ["k"], "v", "m").collect())) == sorted(map(tuple, medians.median(df, ["k"], "v", "m", True).collect()))

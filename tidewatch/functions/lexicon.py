@@ -9,12 +9,24 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
-#: Risk terms, each with the term it stands for.
+#: Risk terms, each with the words and phrases that mean it.
 RISK = {
-    "overheat": "overheat overheating overheated", "burning smell": "burning_smell burn_smell", "caught fire": "caught_fire catch_fire catches_fire burst_into_flames", "fire hazard": "fire_hazard",
-    "exploded": "exploded explode", "electric shock": "electric_shock", "sparking": "sparking", "rash": "rash rashes", "allergic": "allergic allergy", "toxic": "toxic poisonous",
-    "injury": "injury injuries chemical_burn", "choking hazard": "choking_hazard", "fake": "fake counterfeit knockoff", "recall": "recall recalled", "lawsuit": "lawsuit class_action",
-}
+    "overheat": ["overheat", "overheating", "overheated"],
+    "burning smell": ["burning smell", "burn smell"],
+    "caught fire": ["caught fire", "catch fire", "catches fire", "burst into flames"],
+    "fire hazard": ["fire hazard"],
+    "exploded": ["exploded", "explode"],
+    "electric shock": ["electric shock"],
+    "sparking": ["sparking"],
+    "rash": ["rash", "rashes"],
+    "allergic": ["allergic", "allergy"],
+    "toxic": ["toxic", "poisonous"],
+    "injury": ["injury", "injuries", "chemical burn"],
+    "choking hazard": ["choking hazard"],
+    "fake": ["fake", "counterfeit", "knockoff"],
+    "recall": ["recall", "recalled"],
+    "lawsuit": ["lawsuit", "class action"],
+}
 #: Phrases in which a term is no risk; negating words; words that end a clause.
 EXCLUDED = "fire tv stick,fire tv,fire stick,fire hd,kindle fire,amazon fire,fire sale,fire department,fire drill,fire pit,fireplace,fire place,fire truck,fire engine,fire extinguisher,hot deal,hot sale".split(",")
 NEGATORS = "no not never none without zero neither nor hardly scarcely n't cannot cant wont dont didnt wasnt isnt arent".split()
@@ -27,12 +39,12 @@ ASPECTS = {
     "delivery": "delivery,deliver,delivered,delivering,shipping,ship,shipped,arrived,arrive,arrives,arriving,courier,carrier,driver,package,packages,packaging,parcel,transit,transit damage,box",
     "quality": "quality,material,materials,fabric,build,sturdy,durable,durability,defect,defective,broke,broken,flimsy,snapped,snaps,snap,snapping,cheap,craftsmanship,zipper,zippers,button,buttons,seam,seams,battery,motor,blade,screen,screens,sound,earbuds,headphones,bluetooth,connection,performance,works,working,work,stopped turning on,turning on,turn on,toaster,stroller,blender,grinder,sheet,cable,charger,coating,finish,handle,features,manual",
 }
-ASPECT_EXCLUDED = EXCLUDED[:13]
+ASPECT_EXCLUDED = "fire tv stick,fire tv,fire stick,fire hd,kindle fire,amazon fire,fire sale,fire department,fire drill,fire pit,fireplace,fire place,fire truck".split(",")
 #: Words of the scorer.
 POSITIVE = "good great lovely sturdy easier perfect love better firmly neatly politely spotless silently clean well clear fast warm cool new".split()
 NEGATIVE = "bad rude cracked leaked broke broken jammed rattles peeled scratched yellow unsafe refund sadly pinched smoke hot bent loose tore costs".split()
 
-_WORDS = {p.replace("_", " "): c for c, ps in RISK.items() for p in ps.split()}
+_WORDS = {p: c for c, ps in RISK.items() for p in ps}
 _RISK = re.compile(rf"\b(?:{'|'.join(sorted(map(re.escape, _WORDS), key=len, reverse=True))})\b")
 _EACH = [(re.compile(rf"\b{re.escape(w)}\b"), c) for w, c in _WORDS.items()]
 _EXCLUDED = re.compile(rf"\b(?:{'|'.join(sorted(map(re.escape, EXCLUDED), key=len, reverse=True))})\b")

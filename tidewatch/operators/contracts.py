@@ -23,6 +23,11 @@ _DDL = {
 }
 
 
+def required(table: str) -> list[str]:
+    """The columns that must not be null; needs no session."""
+    return [c.split()[0] for c in _DDL[table].split(", ") if c.endswith("not null")]
+
+
 def schema_of(table: str) -> T.StructType:
     return T.StructType.fromDDL(_DDL[table])
 

@@ -6,6 +6,7 @@ reviews; the grouped NumPy step runs once for all series of an indicator. Trigge
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -16,6 +17,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewatch.functions import series as S
+from tidewatch.operators.medians import all_small, median
+from tidewatch.session import checkpointed
 
 KEYS = ("sku", "category", "window_end", "indicator_id", "triggered", "strength")
 
@@ -35,7 +38,7 @@ RULES = {
     "I4": (Rule(3.0, 3, 5), 0.05 / 3.0, "low_star_ratio_shrunk"), "I5": (Rule(2.5, 3, 5), 0.05, "rating_rolling_variance"), "I7": (Rule(3.0, 2, 3), 0.05, "term_burst_score"),
     "I9": (Rule(2.5, 2, 3), 0.05, ""), "I10": (Rule(2.5, 2, 3), 0.05, "mismatch_rate"), "I11": (Rule(2.5, 2, 3, "down"), 0.02, "verified_ratio_all"),
 }
-I6_SHARE, I6_N, I8_HITS, I8_SEVERE, I9_SUPPORT, I11_VOLUME = 0.15, 20, 2, 3, 5, 2.5
+I6_SHARE, I6_N, I8_HITS, I8_SEVERE, I9_SUPPORT, I11_VOLUME, I11_FLOOR = 0.15, 20, 2, 3, 5, 2.5, 0.05
 
 
 def clean_features(features: DataFrame) -> DataFrame:
@@ -46,13 +49,19 @@ def clean_features(features: DataFrame) -> DataFrame:
 
 
 def industry_baseline(features: DataFrame, floor: Column, first: int = 60, min_n: int = 14) -> DataFrame:
-    """``(category, feature, i_median, i_scale, i_n)`` of the first ``first`` calendar days of every series of the category."""
-    w = W.partitionBy("sku", "feature")
-    early = features.withColumn("_lo", F.min("window_end").over(w)).where(F.datediff("window_end", "_lo") < first).where("raw_value is not null").select("category", "feature", "raw_value")
-    mid = early.groupBy("category", "feature").agg(F.percentile("raw_value", 0.5).alias("i_median"), F.count("*").alias("i_n"))
-    dev = early.join(mid, ["category", "feature"]).withColumn("_d", F.abs(F.col("raw_value") - F.col("i_median")))
-    fit = dev.groupBy("category", "feature").agg(F.first("i_median").alias("i_median"), F.first("i_n").alias("i_n"), F.percentile("_d", 0.5).alias("_mad")).where(F.col("i_n") >= min_n)
-    return fit.select("category", "feature", "i_median", F.greatest(F.col("_mad") * S.MAD, floor).alias("i_scale"), "i_n")
+    """``(category, feature, i_median, i_scale, i_n)`` of the first ``first`` calendar days of every series of the category.
+
+    Medians of categories too large for one task are selected in two passes; the early values are written once for all passes.
+    """
+    keys = ["category", "feature"]
+    lo = features.groupBy("sku", "feature").agg(F.min("window_end").alias("_lo"))
+    early = features.join(lo, ["sku", "feature"]).where(F.datediff("window_end", "_lo") < first).where("raw_value is not null").select(*keys, "raw_value")
+    early = checkpointed(early)
+    small = all_small(early, keys)
+    mid = median(early, keys, "raw_value", "i_median", small)
+    dev = early.join(mid, keys).withColumn("_d", F.abs(F.col("raw_value") - F.col("i_median")))
+    fit = mid.join(median(dev, keys, "_d", "_mad", small).drop("n"), keys).where(F.col("n") >= min_n)
+    return fit.select(*keys, "i_median", F.greatest(F.col("_mad") * S.MAD, floor).alias("i_scale"), F.col("n").alias("i_n"))
 
 
 def per_series(features: DataFrame, compute: Callable[[np.ndarray, np.ndarray, tuple[float, float] | None], np.ndarray], industry: DataFrame | None, dense: bool = True) -> DataFrame:
@@ -113,12 +122,17 @@ def simple_indicator(features: DataFrame, indicator: str) -> DataFrame:
     return _finish(m_of_n(zscores(_of(features, name), floor), rule), indicator)
 
 
-def indicator_1(features: DataFrame) -> DataFrame:
-    """Volume surge: log counts less a weekday profile, 7-day mean, z. The industry pools these derived series."""
-    rule, floor, name = RULES["I1"]
+def derived_volume(features: DataFrame) -> DataFrame:
+    """Log counts less a weekday profile, their 7-day mean: the series that I1 looks at; written once, as z-scores and industry read it."""
     derive = lambda x, dow, i: S.trailing_mean(S.deseasonalize(x, dow))
-    s = per_series(_of(features, name), derive, None).select("sku", "category", "feature", "window_end", F.col("z").alias("raw_value"), "n_window")
-    return _finish(m_of_n(zscores(s, floor), rule), "I1")
+    s = per_series(_of(features, RULES["I1"][2]), derive, None)
+    return checkpointed(s.select("sku", "category", "feature", "window_end", F.col("z").alias("raw_value"), "n_window"))
+
+
+def indicator_1(features: DataFrame) -> DataFrame:
+    """Volume surge: z of the derived volume. The industry pools these derived series."""
+    rule, floor, _ = RULES["I1"]
+    return _finish(m_of_n(zscores(derived_volume(features), floor), rule), "I1")
 
 
 def indicator_3(features: DataFrame) -> DataFrame:
@@ -134,12 +148,8 @@ def indicator_5(features: DataFrame) -> DataFrame:
 
     def confirm(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("window_end").reset_index(drop=True)
-        x, ok = pdf["x"].to_numpy(float), pdf["triggered"].to_numpy(bool).copy()
-        if ok.any():
-            _, mad, n = S.trailing_fits(x)
-            for t in np.flatnonzero(ok):
-                ok[t] = bool(S.changepoints(x[: t + 1], max(mad[t], floor) if n[t] >= 14 else None))
-        return pdf.assign(triggered=ok, strength=np.where(ok, pdf["strength"], 0.0))
+        ok, strength = S.confirmed(pdf["x"].to_numpy(float), pdf["triggered"].to_numpy(bool), pdf["strength"].to_numpy(float), floor)
+        return pdf.assign(triggered=ok, strength=strength)
 
     return _finish(fired.groupBy("sku", "category", "feature").applyInPandas(confirm, fired.schema), "I5")
 
@@ -173,11 +183,15 @@ def indicator_9(features: DataFrame) -> DataFrame:
 
 
 def indicator_11(features: DataFrame) -> DataFrame:
-    """Falling verified share while volume is unusual."""
+    """Falling verified share while volume is unusual; both series have the days on which there is a verified share."""
     rule, floor, name = RULES["I11"]
-    z = zscores(_of(features, name), floor, industry=False)
-    v = zscores(_of(features, "log1p_daily_count"), 0.05, industry=False).select("sku", "category", "window_end", F.col("z").alias("_v"))
-    z = z.join(v, ["sku", "category", "window_end"], "left").withColumn("z", F.when(F.col("_v") > I11_VOLUME, F.col("z"))).drop("_v")
+    keys = ["sku", "category", "window_end"]
+    share = _of(features, name).select(*keys, F.lit("share").alias("feature"), "raw_value", "n_window")
+    volume = _of(features, "log1p_daily_count").select(*keys, F.col("raw_value").alias("_volume"))
+    volume = share.join(volume, keys, "left").select(*keys, F.lit("volume").alias("feature"), F.col("_volume").alias("raw_value"), "n_window")
+    z = zscores(share, floor, industry=False, dense=False)
+    v = zscores(volume, I11_FLOOR, industry=False, dense=False).select(*keys, F.col("z").alias("_v"))
+    z = z.join(v, keys, "left").withColumn("z", F.when(F.col("_v") > I11_VOLUME, F.col("z"))).drop("_v")
     return _finish(m_of_n(z, rule), "I11")
 
 
@@ -187,15 +201,139 @@ INDICATORS: dict[str, Callable[[DataFrame], DataFrame]] = {
 }
 
 
-def register(indicator: str, build: Callable[[DataFrame], DataFrame]) -> None:
-    """A further indicator, or another way to build one."""
+_BUILT_IN = dict(INDICATORS)
+
+
+def register(indicator: str, build: Callable[[DataFrame], DataFrame] | None = None):
+    """A further indicator, or another way to build one; also as a decorator. Ids must look like those of the contract."""
+    if not re.fullmatch(r"I\d{1,2}", indicator):
+        raise ValueError(f"no indicator id: {indicator!r}")
+    if build is None:
+        return lambda f: register(indicator, f) or f
     INDICATORS[indicator] = build
 
 
+_Z = ("I2", "I4", "I5", "I7", "I10")  # z-scores of a stored feature
+
+
+def _product(pdf: pd.DataFrame) -> pd.DataFrame:
+    """All built-in indicators of one product from its rows of all features."""
+    pdf = pdf.sort_values("window_end", kind="stable")
+    days_all = pd.to_datetime(pdf["window_end"]).to_numpy().astype("datetime64[D]").astype(int)
+    by = {name: np.asarray(at) for name, at in pdf.groupby("feature", sort=False).indices.items()}
+    x_all, n_all = pdf["raw_value"].to_numpy(float), pdf["n_window"].fillna(0).to_numpy(int)
+    m_all, s_all, owner = pdf["i_median"].to_numpy(float), pdf["i_scale"].to_numpy(float), pdf["indicator_id"].to_numpy()
+    out = []
+
+    def of(name: str, dense: bool = True):
+        at = by[name]
+        days, x, n = days_all[at], x_all[at], n_all[at]
+        if dense:
+            full = np.arange(days[0], days[-1] + 1)
+            xs, ns = np.full(len(full), np.nan), np.zeros(len(full), int)
+            xs[days - days[0]], ns[days - days[0]] = x, n
+            days, x, n = full, xs, ns
+        i = None if np.isnan(m_all[at[0]]) else (m_all[at[0]], s_all[at[0]])
+        return days, x, n, i
+
+    def add(k: str, days: np.ndarray, fired: np.ndarray, strength: np.ndarray) -> None:
+        out.append((days, np.full(len(days), k), fired, strength))
+
+    def rule(k: str, v: np.ndarray, r: Rule | None = None):
+        r = r or RULES[k][0]
+        return S.fire({"up": v, "down": -v, "both": np.abs(v)}[r.direction], r.k, r.m, r.n, r.min_valid or r.m)
+
+    for k in ("I1", *_Z):
+        name = _DERIVED if k == "I1" else RULES[k][2]
+        if name in by:
+            days, x, _, i = of(name)
+            fired, strength = rule(k, S.robust_z(x, i, RULES[k][1]))
+            if k == "I5" and fired.any():
+                fired, strength = S.confirmed(x, fired, strength, RULES[k][1])
+            add(k, days, fired, strength)
+    if RULES["I3"][2] in by:
+        days, x, _, _ = of(RULES["I3"][2])
+        add("I3", days, *rule("I3", S.trend_z(x)))
+    shares = [of(f, False) for f in ("share_1star", "share_5star") if f in by]
+    if shares:
+        days = np.unique(np.concatenate([d for d, *_ in shares]))
+        v, n = np.full((2, len(days)), np.nan), np.zeros(len(days), int)
+        for f, row in (("share_1star", 0), ("share_5star", 1)):
+            if f in by:
+                d, x, k, _ = of(f, False)
+                at = np.searchsorted(days, d)
+                v[row, at] = x
+                n[at] = np.maximum(n[at], k)
+        low = v.min(0)  # NaN where one is missing
+        hit = np.where(np.isnan(low), np.nan, ((low >= I6_SHARE) & (n >= I6_N)).astype(float))
+        fired, _ = rule("I6", hit, Rule(0.5, 3, 5, min_valid=1))
+        add("I6", days, fired, np.where(fired, np.minimum(1.0, np.nan_to_num(low) / (2 * I6_SHARE)), 0.0))
+    risks = [f for f in ("risk_hits", "risk_distinct_users") if f in by]
+    if risks:
+        days = np.unique(np.concatenate([of(f, False)[0] for f in risks]))
+        low = np.zeros((2, len(days)))
+        for row, f in enumerate(("risk_hits", "risk_distinct_users")):
+            if f in by:
+                d, x, _, _ = of(f, False)
+                low[row, np.searchsorted(days, d)] = np.nan_to_num(x)
+        low = low.min(0)
+        add("I8", days, low >= I8_HITS, np.where(low >= I8_SEVERE, 1.0, np.where(low >= I8_HITS, 0.5, 0.0)))
+    aspects = [f for f, at in by.items() if owner[at[0]] == "I9"]
+    if aspects:
+        parts = []
+        for f in aspects:
+            d, x, n, _ = of(f, False)
+            z = S.robust_z(x, None, RULES["I9"][1])
+            parts.append((d, *rule("I9", np.where(n >= I9_SUPPORT, z, np.nan))))
+        days = np.unique(np.concatenate([d for d, *_ in parts]))
+        fired, strength = np.zeros(len(days), bool), np.zeros(len(days))
+        for d, a, b in parts:
+            at = np.searchsorted(days, d)
+            fired[at] |= a
+            strength[at] = np.maximum(strength[at], b)
+        add("I9", days, fired, strength)
+    if RULES["I11"][2] in by:
+        days, x, _, _ = of(RULES["I11"][2], False)
+        volume = np.full(len(days), np.nan)
+        if "log1p_daily_count" in by:
+            d, w, _, _ = of("log1p_daily_count", False)
+            both, i, j = np.intersect1d(days, d, return_indices=True)
+            volume[i] = w[j]
+        z = np.where(S.robust_z(volume, None, I11_FLOOR) > I11_VOLUME, S.robust_z(x, None, RULES["I11"][1]), np.nan)
+        add("I11", days, *rule("I11", z))
+    if not out:
+        return pd.DataFrame({k: [] for k in KEYS})
+    days, ids, fired, strength = (np.concatenate(c) for c in zip(*out))
+    return pd.DataFrame({"sku": pdf["sku"].iloc[0], "category": pdf["category"].iloc[0], "window_end": days.astype("datetime64[D]").astype("datetime64[s]"), "indicator_id": ids, "triggered": fired, "strength": strength}).assign(window_end=lambda d: d["window_end"].dt.date)
+
+
+_DERIVED = "derived_volume"
+
+
+def one_pass(features: DataFrame) -> DataFrame:
+    """The matrix of all built-in indicators: one pass for the derived volume, one for the industry's baselines, one over products.
+
+    A product's rows are bounded by days times features. Each indicator by itself (``INDICATORS``) gives the same rows.
+    """
+    f = checkpointed(features.select("sku", "category", "indicator_id", "feature", "window_end", "raw_value", "n_window"))
+    derived = derived_volume(f).select("sku", "category", F.lit("I1").alias("indicator_id"), F.lit(_DERIVED).alias("feature"), "window_end", "raw_value", "n_window")
+    floors = {_DERIVED: RULES["I1"][1]} | {RULES[k][2]: RULES[k][1] for k in _Z}
+    floor = F.element_at(F.create_map(*[F.lit(x) for kv in floors.items() for x in kv]), F.col("feature"))
+    every = f.unionByName(derived)
+    base = checkpointed(industry_baseline(every.where(F.col("feature").isin(*floors)), floor).select("category", "feature", "i_median", "i_scale"))
+    rows = every.join(base, ["category", "feature"], "left")
+    return rows.groupBy("sku", "category").applyInPandas(_product, "sku string, category string, window_end date, indicator_id string, triggered boolean, strength double")
+
+
 def indicator_matrix(features: DataFrame, only: tuple[str, ...] | None = None) -> DataFrame:
     """All indicators of a cleaned feature table, one row per (sku, day, indicator)."""
+    names = only or tuple(INDICATORS)
+    built_in = [k for k in names if INDICATORS[k] is _BUILT_IN.get(k)]
     out = None
-    for k in only or tuple(INDICATORS):
+    if only is None and set(built_in) == set(_BUILT_IN):
+        out = one_pass(features)
+        names = tuple(k for k in names if k not in built_in)
+    for k in names:
         part = INDICATORS[k](features)
         out = part if out is None else out.unionByName(part)
     return out

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions import lexicon
 from tidewatch.functions.text import ngrams
+from tidewatch.session import checkpointed
 
 DAYS = 7
 #: Which features belong to which indicator.
@@ -88,20 +89,25 @@ def term_burst(reviews: DataFrame, days: int = DAYS, min_count: int = 5, min_use
     reach a window. For the terms and windows that remain, a range frame over the daily counts gives the window before.
     """
     c = term_counts(reviews)
+    # a term that a product has fewer times in all, or by fewer users, is not even sorted by days
+    frequent = c.groupBy("sku", "term").agg(F.sum("count").alias("k"), F.min("u").alias("a"), F.max("u").alias("b")).where((F.col("k") >= min_count) & ((F.col("a") != F.col("b")) | F.lit(min_users < 2))).select("sku", "term")
+    c = checkpointed(c.join(frequent, ["sku", "term"], "left_semi"))
     cells = c.groupBy("sku", "term", "date").agg(F.sum("count").alias("k"))
-    w = W.partitionBy("sku", "term").orderBy(F.unix_date("date")).rangeBetween(-(days - 1), days - 1)
-    near = cells.withColumn("_near", F.sum("k").over(w)).where(F.col("_near") >= min_count).select("sku", "term", "date")
+    w = W.partitionBy("sku", "term").orderBy(F.unix_date("date"))
+    near = w.rangeBetween(-(days - 1), days - 1)
+    cells = checkpointed(cells.withColumn("_near", F.sum("k").over(near)))
+    hot = cells.where(F.col("_near") >= min_count).select("sku", "term", "date")
     ends = F.explode(F.transform(F.sequence(F.lit(0), F.lit(days - 1)), lambda i: F.date_add("date", i))).alias("window_end")
-    now = c.join(near, ["sku", "term", "date"], "left_semi").select("sku", "term", "u", "count", ends)
+    now = c.join(hot, ["sku", "term", "date"], "left_semi").select("sku", "term", "u", "count", ends)
     now = now.groupBy("sku", "term", "window_end", "u").agg(F.sum("count").alias("count")).groupBy("sku", "term", "window_end").agg(F.sum("count").alias("cur"), F.count("*").alias("n_users"))
     now = now.where((F.col("cur") >= min_count) & (F.col("n_users") >= min_users))
     both = now.select("sku", "term", F.col("window_end").alias("date"), "cur", F.lit(0).cast("bigint").alias("k")).unionByName(cells.select("sku", "term", "date", F.lit(None).cast("bigint").alias("cur"), "k"))
-    span = W.partitionBy("sku", "term").orderBy(F.unix_date("date")).rangeBetween(-(2 * days - 1), -days)
     p = F.coalesce("past", F.lit(0))
-    g = both.withColumn("past", F.sum("k").over(span)).where("cur is not null").groupBy("sku", F.col("date").alias("window_end")).agg(F.max((F.col("cur") - p) / F.sqrt(p + 1)).alias("top"))
-    lo, hi = reviews.agg(F.min("date")).scalar(), reviews.agg(F.max("date")).scalar()
-    windows = reviews.select("sku", "date").distinct().select("sku", F.explode(F.sequence("date", F.date_add("date", days - 1))).alias("window_end")).distinct()
-    windows = windows.where((F.col("window_end") >= F.date_add(lo, days - 1)) & (F.col("window_end") <= hi))
+    g = both.withColumn("past", F.sum("k").over(w.rangeBetween(-(2 * days - 1), -days))).where("cur is not null").groupBy("sku", F.col("date").alias("window_end")).agg(F.max((F.col("cur") - p) / F.sqrt(p + 1)).alias("top"))
+    windows = checkpointed(reviews.select("sku", "date").distinct())
+    span = windows.agg(F.struct(F.min("date").alias("lo"), F.max("date").alias("hi"))).scalar()
+    windows = windows.select("sku", F.explode(F.sequence("date", F.date_add("date", days - 1))).alias("window_end")).distinct()
+    windows = windows.where((F.col("window_end") >= F.date_add(span["lo"], days - 1)) & (F.col("window_end") <= span["hi"]))
     return windows.join(g, ["sku", "window_end"], "left").select("sku", "window_end", F.greatest(F.coalesce("top", F.lit(0.0)), F.lit(0.0)).alias("term_burst_score"))
 
 

@@ -57,7 +57,7 @@ def name_of(level: Column) -> Column:
 def hysteresis(rows: DataFrame) -> DataFrame:
     """``rows`` (sku, category, window_end, raw) with ``level``: up at once, down only after ``HOLD`` equal rows in a row.
 
-    An ordered fold over a sku's rows, of which there is one a day.
+    An ordered fold over a sku's rows, of which there is one a day; each row goes along, so that there is one exchange.
     """
     zero = F.struct(F.lit(None).cast("int").alias("cur"), F.lit(None).cast("int").alias("want"), F.lit(0).alias("seen"), F.array().cast("array<int>").alias("out"))
 
@@ -69,9 +69,10 @@ def hysteresis(rows: DataFrame) -> DataFrame:
         want = F.when(~up & (seen < HOLD), lv)
         return F.struct(cur.alias("cur"), want.alias("want"), F.when(want.isNull(), 0).otherwise(seen).alias("seen"), F.concat(a["out"], F.array(cur)).alias("out"))
 
-    g = rows.select("sku", "category", "window_end", F.col("raw").cast("int").alias("raw")).groupBy("sku", "category").agg(F.array_sort(F.collect_list(F.struct("window_end", "raw"))).alias("_r"))
-    g = g.select("sku", "category", F.explode(F.arrays_zip(F.col("_r.window_end").alias("window_end"), F.aggregate("_r", zero, step)["out"].alias("level"))).alias("_x"))
-    return rows.join(g.select("sku", "category", "_x.window_end", "_x.level"), ["sku", "category", "window_end"])
+    rest = [c for c in rows.columns if c not in ("sku", "category", "window_end", "raw")]
+    g = rows.select("sku", "category", F.struct("window_end", F.col("raw").cast("int").alias("raw"), *rest).alias("_x")).groupBy("sku", "category").agg(F.array_sort(F.collect_list("_x")).alias("_r"))
+    g = g.select("sku", "category", F.explode(F.arrays_zip(F.col("_r").alias("row"), F.aggregate("_r", zero, step)["out"].alias("level"))).alias("_x"))
+    return g.select("sku", "category", "_x.row.*", "_x.level")
 
 
 def alerts(matrix: DataFrame, tau: tuple[float, float] = TAU) -> DataFrame:

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions import lexicon, text
 from tidewatch.operators import contracts, detect, evaluate, features, preprocess, score, serve
-from tidewatch.session import checkpointed, table
+from tidewatch.session import table
 from tidewatch.sources import reviews as source
+from tidewatch.sources.stored import stored
 
 QUERIES, SQL = {}, {}
 
@@ -23,6 +24,18 @@ def query(sql: str | None = None):
     return add
 
 
+def whole(sql: str):
+    """A query over all eleven indicators, and once more as ``NAME_plain`` over those that SQL can follow, with that SQL."""
+
+    def add(f):
+        QUERIES[f.__name__] = lambda s, d: f(s, d, None)
+        QUERIES[f"{f.__name__}_plain"] = lambda s, d: f(s, d, PLAIN)
+        SQL[f"{f.__name__}_plain"] = sql
+        return f
+
+    return add
+
+
 def _day(c: str) -> F.Column:
     return F.date_format(c, "yyyy-MM-dd").alias(c)
 
@@ -36,23 +49,20 @@ def _panel(s: SparkSession, d: str) -> DataFrame:
 
 
 def _features(s: SparkSession, d: str) -> DataFrame:
-    return detect.clean_features(table(s, d, "feature_series"))
+    return stored(s, "features", [f"{d}/feature_series.parquet"], lambda: detect.clean_features(table(s, d, "feature_series")))
 
 
-#: Indicators whose every step SQL can express; only the queries held against SQL stop at these.
+#: Indicators whose every step SQL can express; only the queries named ``_plain`` stop at these.
 PLAIN = ("I2", "I4", "I6", "I7", "I8", "I9", "I10", "I11")
 
 
 def _matrix(s: SparkSession, d: str, only: tuple[str, ...] | None = None) -> DataFrame:
-    """All eleven are kept in the checkpoint folder, features and result, as in one plan they take much of the driver's memory."""
-    if only:
-        return detect.indicator_matrix(_features(s, d), only)
-    return checkpointed(detect.indicator_matrix(checkpointed(_features(s, d))))
+    """Kept in the checkpoint folder for all queries of a session, until the table it is made from changes."""
+    return stored(s, f"matrix {only}", [f"{d}/feature_series.parquet"], lambda: detect.indicator_matrix(_features(s, d), only))
 
 
 def _alerts(s: SparkSession, d: str, only: tuple[str, ...] | None = None) -> DataFrame:
-    """Kept in the checkpoint folder, as several branches of a query read it."""
-    return checkpointed(score.alerts(_matrix(s, d, only), ALERT_TAU))
+    return stored(s, f"alerts {only}", [f"{d}/feature_series.parquet"], lambda: score.alerts(_matrix(s, d, only), ALERT_TAU))
 
 
 def _labels(s: SparkSession, d: str) -> DataFrame:
@@ -153,14 +163,23 @@ def audit_funnel(s, d):
     return preprocess.funnel(table(s, d, "clean_reviews"))
 
 
-@query("""SELECT rule, "rows" FROM (
-SELECT 'duplicate_key' AS rule, (SELECT count(*) FROM (SELECT sku, date FROM daily_agg GROUP BY sku, date HAVING count(*) > 1)) AS "rows"
-UNION ALL SELECT 'histogram', count(*) FILTER (n <> n1 + n2 + n3 + n4 + n5) FROM daily_agg UNION ALL SELECT 'verified', count(*) FILTER (n_verified > n) FROM daily_agg)""")
+def contract_sql(name: str, rules: dict[str, str]) -> str:
+    """``(rule, rows)`` of a table's contract, its rules as SQL conditions that every row must meet."""
+    rules = {f"null_{c}": f"{c} IS NOT NULL" for c in contracts.required(name)} | rules
+    parts = [f"SELECT '{k}' AS rule, count(*) FILTER (NOT coalesce({v}, true)) AS \"rows\" FROM {name}" for k, v in rules.items()]
+    keys = ", ".join(contracts.KEYS[name])
+    return " UNION ALL ".join([*parts, f"SELECT 'duplicate_key', count(*) FROM (SELECT {keys} FROM {name} GROUP BY {keys} HAVING count(*) > 1)"])
+
+
+@query(contract_sql("daily_agg", {
+    "histogram": "n = n1 + n2 + n3 + n4 + n5", "negative": "n_neg = n1 + n2", "sum": "abs(sum_rating - (n1 + 2 * n2 + 3 * n3 + 4 * n4 + 5 * n5)) <= 1e-6", "sumsq": "abs(sumsq_rating - (n1 + 4 * n2 + 9 * n3 + 16 * n4 + 25 * n5)) <= 1e-6",
+    "verified": "n_verified <= n", "all": "n <= n_all", "verified_all": "n_verified_all <= n_all", "not_negative": "least(n1, n2, n3, n4, n5, n, n_neg) >= 0",
+}))
 def contract_daily_agg(s, d):
-    return contracts.violations("daily_agg", table(s, d, "daily_agg")).where(F.col("rule").isin("duplicate_key", "histogram", "verified"))
+    return contracts.violations("daily_agg", table(s, d, "daily_agg"))
 
 
-@query()
+@query(contract_sql("clean_reviews", {"date_of_ts": "date = CAST(ts AS DATE)", "rating_range": "rating BETWEEN 1 AND 5"}))
 def contract_reviews(s, d):
     return contracts.violations("clean_reviews", table(s, d, "clean_reviews"))
 
@@ -268,10 +287,10 @@ def embedding_max_cosine(s, d):
 FEATS = """fs AS (SELECT sku, category, indicator_id, feature, window_end, max(CASE WHEN isnan(raw_value) OR isinf(raw_value) THEN NULL ELSE raw_value END) AS x, max(n_window) AS n_window FROM feature_series GROUP BY ALL)"""
 
 
-def zsql(name: str, where: str, floor: float, industry: bool = True, dense: bool = True) -> str:
+def zsql(name: str, where: str, floor: float, industry: bool = True, dense: bool = True, rows: str = "SELECT * FROM fs WHERE") -> str:
     """CTEs ending in ``name`` (sku, category, feature, window_end, x, n_window, z)."""
     n = name
-    rows = f"{n}_f AS (SELECT * FROM fs WHERE {where})"
+    rows = f"{n}_f AS ({rows} {where})"
     if dense:
         rows += f""", {n}_b AS (SELECT sku, category, feature, min(window_end) AS lo, max(window_end) AS hi FROM {n}_f GROUP BY ALL),
 {n}_g AS (SELECT sku, category, feature, lo, CAST(unnest(generate_series(CAST(lo AS TIMESTAMP), CAST(hi AS TIMESTAMP), INTERVAL 1 DAY)) AS DATE) AS window_end FROM {n}_b),
@@ -309,7 +328,9 @@ INDICATOR_SQL["I8"] = """p8 AS (SELECT sku, category, window_end, least(coalesce
 I8 AS (SELECT sku, category, window_end, low >= 2 AS fired, CASE WHEN low >= 3 THEN 1.0 WHEN low >= 2 THEN 0.5 ELSE 0.0 END AS strength FROM p8)"""
 INDICATOR_SQL["I9"] = f"""{zsql('z9', "indicator_id = 'I9'", 0.05, False, False)}, y9 AS (SELECT * EXCLUDE (z), CASE WHEN n_window >= 5 THEN z END AS z FROM z9), {msql('m9', 'y9', detect.RULES['I9'][0])},
 I9 AS (SELECT sku, category, window_end, bool_or(fired) AS fired, max(strength) AS strength FROM m9 GROUP BY sku, category, window_end)"""
-INDICATOR_SQL["I11"] = f"""{zsql('z11', "feature = 'verified_ratio_all'", 0.02, False)}, {zsql('v11', "feature = 'log1p_daily_count'", 0.05, False)},
+_VOLUME_OF_SHARE = """SELECT y.sku, y.category, y.indicator_id, 'volume' AS feature, y.window_end, v.x, y.n_window FROM fs y LEFT JOIN (SELECT * FROM fs WHERE feature = 'log1p_daily_count') v
+  ON y.sku = v.sku AND y.category = v.category AND y.window_end = v.window_end WHERE"""
+INDICATOR_SQL["I11"] = f"""{zsql('z11', "feature = 'verified_ratio_all'", 0.02, False, False)}, {zsql('v11', "y.feature = 'verified_ratio_all'", 0.05, False, False, _VOLUME_OF_SHARE)},
 y11 AS (SELECT z11.* EXCLUDE (z), CASE WHEN v11.z > 2.5 THEN z11.z END AS z FROM z11 LEFT JOIN v11 ON z11.sku = v11.sku AND z11.category = v11.category AND z11.window_end = v11.window_end), {msql('m11', 'y11', detect.RULES['I11'][0])},
 I11 AS (SELECT sku, category, window_end, fired, strength FROM m11)"""
 MATRIX = FEATS + ", " + ", ".join(INDICATOR_SQL[i] for i in PLAIN) + ", mx AS (" + " UNION ALL ".join(f"SELECT sku, category, window_end, '{i}' AS indicator_id, fired AS triggered, CAST(strength AS DOUBLE) AS strength FROM {i}" for i in PLAIN) + ")"
@@ -365,8 +386,8 @@ SCORES = f"""{MATRIX}, sc AS (SELECT sku, category, window_end, coalesce(sum(CAS
   FROM mx GROUP BY sku, category, window_end)"""
 
 
-@query(f"WITH {SCORES} SELECT sku, strftime(window_end, '%Y-%m-%d') AS window_end, round(score, 6) AS score, array_to_string(groups_active, ',') AS groups_active, array_to_string(nums, ',') AS ids, CAST(severe AS INTEGER) AS severe, CAST(verify_flag AS INTEGER) AS verify_flag FROM sc")
-def risk_score(s, d, only=PLAIN):
+@whole(f"WITH {SCORES} SELECT sku, strftime(window_end, '%Y-%m-%d') AS window_end, round(score, 6) AS score, array_to_string(groups_active, ',') AS groups_active, array_to_string(nums, ',') AS ids, CAST(severe AS INTEGER) AS severe, CAST(verify_flag AS INTEGER) AS verify_flag FROM sc")
+def risk_score(s, d, only):
     r = score.scores(_matrix(s, d, only))
     return r.select("sku", _day("window_end"), F.round("score", 6).alias("score"), F.array_join("groups_active", ",").alias("groups_active"), F.replace(F.array_join("triggered_ids", ","), F.lit("I"), F.lit("")).alias("ids"), F.col("severe").cast("int").alias("severe"), F.col("verify_flag").cast("int").alias("verify_flag"))
 
@@ -377,8 +398,8 @@ lv AS (SELECT *, CASE WHEN score >= {ALERT_TAU[1]} AND (len(groups_active) >= 3
   row_number() OVER (PARTITION BY sku, category ORDER BY window_end) AS i FROM ps)"""
 
 
-@query(f"WITH {PERSIST} SELECT sku, strftime(window_end, '%Y-%m-%d') AS window_end, CAST(persist AS INTEGER) AS persist, raw FROM lv")
-def persistence(s, d, only=PLAIN):
+@whole(f"WITH {PERSIST} SELECT sku, strftime(window_end, '%Y-%m-%d') AS window_end, CAST(persist AS INTEGER) AS persist, raw FROM lv")
+def persistence(s, d, only):
     p = score.with_persistence(score.scores(_matrix(s, d, only)), ALERT_TAU[0])
     return p.select("sku", _day("window_end"), "persist", score.level_of(F.col("score"), F.col("persist"), F.col("groups_active"), F.col("severe"), *ALERT_TAU).alias("raw"))
 
@@ -393,14 +414,14 @@ UNION ALL SELECT l.sku, l.category, l.window_end, l.i, CASE WHEN l.raw >= h.cur
 al AS (SELECT l.sku, l.category, l.window_end, l.score, CASE h.cur WHEN 2 THEN 'HIGH' ELSE 'MEDIUM' END AS level, l.groups_active, l.persist, l.verify_flag, l.nums FROM lv l JOIN hy h ON l.sku = h.sku AND l.category = h.category AND l.i = h.i WHERE h.cur > 0) {end}"""
 
 
-@query(hysteresis_sql(PERSIST, "SELECT sku, strftime(window_end, '%Y-%m-%d') AS window_end, round(score, 6) AS score, level, array_to_string(groups_active, ',') AS groups_active, CAST(persist AS INTEGER) AS persist, CAST(verify_flag AS INTEGER) AS verify_flag, array_to_string(nums, ',') AS ids FROM al"))
-def alerts(s, d, only=PLAIN):
+@whole(hysteresis_sql(PERSIST, "SELECT sku, strftime(window_end, '%Y-%m-%d') AS window_end, round(score, 6) AS score, level, array_to_string(groups_active, ',') AS groups_active, CAST(persist AS INTEGER) AS persist, CAST(verify_flag AS INTEGER) AS verify_flag, array_to_string(nums, ',') AS ids FROM al"))
+def alerts(s, d, only):
     a = score.alerts(_matrix(s, d, only), ALERT_TAU)
     return a.select("sku", _day("window_end"), F.round("score", 6).alias("score"), "level", F.array_join("groups_active", ",").alias("groups_active"), "persist", F.col("verify_flag").cast("int").alias("verify_flag"), F.replace(F.array_join("triggered_ids", ","), F.lit("I"), F.lit("")).alias("ids"))
 
 
-@query(f"""WITH {SCORES} SELECT category, CASE WHEN count(*) < 200 THEN 0.2 ELSE round(greatest(quantile_cont(score, 0.9), 0.15), 6) END AS tau1, CASE WHEN count(*) < 200 THEN 0.4 ELSE round(greatest(quantile_cont(score, 0.97), 0.35), 6) END AS tau2, count(*) AS n FROM sc GROUP BY category""")
-def tau_percentiles(s, d, only=PLAIN):
+@whole(f"""WITH {SCORES} SELECT category, CASE WHEN count(*) < 200 THEN 0.2 ELSE round(greatest(quantile_cont(score, 0.9), 0.15), 6) END AS tau1, CASE WHEN count(*) < 200 THEN 0.4 ELSE round(greatest(quantile_cont(score, 0.97), 0.35), 6) END AS tau2, count(*) AS n FROM sc GROUP BY category""")
+def tau_percentiles(s, d, only):
     return score.calibrate(score.scores(_matrix(s, d, only))).select("category", F.round("tau1", 6).alias("tau1"), F.round("tau2", 6).alias("tau2"), "n")
 
 
@@ -417,23 +438,23 @@ def recall_match(s, d):
 MATCHED = """mt AS (SELECT lb.sku, lb.category, lb.recall_id, lb.recall_date, min(al.window_end) AS first_alert, count(al.window_end) AS k FROM lb LEFT JOIN al ON lb.sku = al.sku AND lb.category = al.category AND al.window_end BETWEEN lb.recall_date - 90 AND lb.recall_date GROUP BY ALL)"""
 
 
-@query(hysteresis_sql(f"{PERSIST}, {LABELS}", f", {MATCHED} SELECT sku, recall_id, strftime(recall_date, '%Y-%m-%d') AS recall_date, CAST(k > 0 AS INTEGER) AS detected, strftime(first_alert, '%Y-%m-%d') AS first_alert, k AS alert_count, CAST(datediff('day', first_alert, recall_date) AS DOUBLE) AS lead_time_days FROM mt"))
-def alerts_vs_recalls(s, d, only=PLAIN):
+@whole(hysteresis_sql(f"{PERSIST}, {LABELS}", f", {MATCHED} SELECT sku, recall_id, strftime(recall_date, '%Y-%m-%d') AS recall_date, CAST(k > 0 AS INTEGER) AS detected, strftime(first_alert, '%Y-%m-%d') AS first_alert, k AS alert_count, CAST(datediff('day', first_alert, recall_date) AS DOUBLE) AS lead_time_days FROM mt"))
+def alerts_vs_recalls(s, d, only):
     return evaluate.match_alerts(_alerts(s, d, only), _labels(s, d)).withColumn("lead_time_days", F.col("lead_time_days").cast("double"))
 
 
-@query(hysteresis_sql(f"{PERSIST}, {LABELS}", f""", {MATCHED} SELECT count(*) AS events, count(*) FILTER (k > 0) AS detected, count(*) FILTER (k = 0) AS missed, round(count(*) FILTER (k > 0) / count(*), 6) AS recall,
+@whole(hysteresis_sql(f"{PERSIST}, {LABELS}", f""", {MATCHED} SELECT count(*) AS events, count(*) FILTER (k > 0) AS detected, count(*) FILTER (k = 0) AS missed, round(count(*) FILTER (k > 0) / count(*), 6) AS recall,
 round(avg(datediff('day', first_alert, recall_date)), 6) AS mean_lead, CAST(median(datediff('day', first_alert, recall_date)) AS DOUBLE) AS median_lead, CAST(sum(k) AS BIGINT) AS alerts FROM mt"""))
-def eval_summary(s, d, only=PLAIN):
+def eval_summary(s, d, only):
     r = evaluate.summary(evaluate.match_alerts(_alerts(s, d, only), _labels(s, d)))
     return r.withColumn("recall", F.round("recall", 6)).withColumn("mean_lead", F.round("mean_lead", 6))
 
 
-@query(hysteresis_sql(f"{PERSIST}, {LABELS}", """, po AS (SELECT unnest(['medium_or_high', 'high_only', 'rating', 'volume', 'keyword']) AS policy),
+@whole(hysteresis_sql(f"{PERSIST}, {LABELS}", """, po AS (SELECT unnest(['medium_or_high', 'high_only', 'rating', 'volume', 'keyword']) AS policy),
 ev AS (SELECT po.policy, lb.sku, lb.recall_id, count(al.window_end) AS k FROM po CROSS JOIN lb LEFT JOIN al ON lb.sku = al.sku AND lb.category = al.category AND al.window_end BETWEEN lb.recall_date - 90 AND lb.recall_date
   AND CASE po.policy WHEN 'medium_or_high' THEN true WHEN 'high_only' THEN al.level = 'HIGH' WHEN 'rating' THEN list_has_any(al.nums, [3, 4, 5, 6]) WHEN 'volume' THEN list_has_any(al.nums, [1, 2]) ELSE list_has_any(al.nums, [7, 8]) END GROUP BY ALL)
 SELECT policy, count(*) AS events, count(*) FILTER (k > 0) AS detected, round(count(*) FILTER (k > 0) / count(*), 6) AS recall, CAST(sum(k) AS BIGINT) AS alerts FROM ev GROUP BY policy"""))
-def policy_baselines(s, d, only=PLAIN):
+def policy_baselines(s, d, only):
     return evaluate.policy_summary(_alerts(s, d, only), _labels(s, d)).withColumn("recall", F.round("recall", 6))
 
 
@@ -495,13 +516,13 @@ def pii_mask(s, d):
     return _reviews(s, d).select("review_id", text.mask(F.col("text_raw")).alias("masked"), text.short_key(F.col("text_raw")).alias("opening"))
 
 
-@query(hysteresis_sql(PERSIST, "SELECT sku, strftime(window_end, '%Y-%m-%d') AS window_end, CASE WHEN verify_flag THEN 'Victim' WHEN list_contains(nums, 8) THEN 'Preventable' ELSE 'Accidental' END AS cluster, CASE WHEN verify_flag THEN 0.75 WHEN list_contains(nums, 8) THEN 0.9 ELSE 0.7 END::DOUBLE AS confidence FROM al WHERE level = 'HIGH'"))
-def rule_explanation(s, d, only=PLAIN):
+@whole(hysteresis_sql(PERSIST, "SELECT sku, strftime(window_end, '%Y-%m-%d') AS window_end, CASE WHEN verify_flag THEN 'Victim' WHEN list_contains(nums, 8) THEN 'Preventable' ELSE 'Accidental' END AS cluster, CASE WHEN verify_flag THEN 0.75 WHEN list_contains(nums, 8) THEN 0.9 ELSE 0.7 END::DOUBLE AS confidence FROM al WHERE level = 'HIGH'"))
+def rule_explanation(s, d, only):
     return serve.explanation(_alerts(s, d, only))
 
 
-@query(hysteresis_sql(PERSIST, ", ll AS (SELECT *, row_number() OVER (PARTITION BY sku ORDER BY window_end DESC) AS r FROM al) SELECT sku, strftime(window_end, '%Y-%m-%d') AS window_end, level, round(score, 6) AS score FROM ll WHERE r = 1"))
-def latest_alert(s, d, only=PLAIN):
+@whole(hysteresis_sql(PERSIST, ", ll AS (SELECT *, row_number() OVER (PARTITION BY sku ORDER BY window_end DESC) AS r FROM al) SELECT sku, strftime(window_end, '%Y-%m-%d') AS window_end, level, round(score, 6) AS score FROM ll WHERE r = 1"))
+def latest_alert(s, d, only):
     return serve.latest(_alerts(s, d, only)).select("sku", _day("window_end"), "level", F.round("score", 6).alias("score"))
 
 
@@ -509,21 +530,21 @@ _SINCE = """a1 AS (SELECT sku, window_end, level, CASE WHEN lag(level) OVER w =
 a2 AS (SELECT *, sum(o) OVER (PARTITION BY sku ORDER BY window_end) AS run FROM a1), a3 AS (SELECT sku, run, any_value(level) AS level, min(window_end) AS since, count(*) AS windows, row_number() OVER (PARTITION BY sku ORDER BY run DESC) AS r FROM a2 GROUP BY sku, run)"""
 
 
-@query(hysteresis_sql(PERSIST, f", {_SINCE} SELECT sku, level, strftime(since, '%Y-%m-%d') AS since, windows FROM a3 WHERE r = 1"))
-def level_since(s, d, only=PLAIN):
+@whole(hysteresis_sql(PERSIST, f", {_SINCE} SELECT sku, level, strftime(since, '%Y-%m-%d') AS since, windows FROM a3 WHERE r = 1"))
+def level_since(s, d, only):
     return serve.level_since(_alerts(s, d, only))
 
 
-@query(hysteresis_sql(PERSIST, """, e AS (SELECT max(window_end) AS hi FROM al), n1 AS (SELECT sku, window_end, level, lag(level) OVER (PARTITION BY sku ORDER BY window_end) AS before, level = 'HIGH' AND window_end > hi - 7 AS recent FROM al, e),
+@whole(hysteresis_sql(PERSIST, """, e AS (SELECT max(window_end) AS hi FROM al), n1 AS (SELECT sku, window_end, level, lag(level) OVER (PARTITION BY sku ORDER BY window_end) AS before, level = 'HIGH' AND window_end > hi - 7 AS recent FROM al, e),
 n2 AS (SELECT sku, arg_max(level, window_end) AS now, arg_min(coalesce(before, ''), window_end) FILTER (recent) AS b, count(*) FILTER (recent) AS k FROM n1 GROUP BY sku) SELECT sku FROM n2 WHERE now = 'HIGH' AND k > 0 AND b <> 'HIGH'"""))
-def new_high_7d(s, d, only=PLAIN):
+def new_high_7d(s, d, only):
     return serve.new_high(_alerts(s, d, only))
 
 
-@query(hysteresis_sql(PERSIST, f""", {_SINCE}, ll AS (SELECT *, row_number() OVER (PARTITION BY sku ORDER BY window_end DESC) AS r FROM al)
+@whole(hysteresis_sql(PERSIST, f""", {_SINCE}, ll AS (SELECT *, row_number() OVER (PARTITION BY sku ORDER BY window_end DESC) AS r FROM al)
 SELECT ll.sku, ll.level, round(ll.score, 6) AS score, CAST(list_contains(nums, 8) AS INTEGER) AS has_i8, strftime(a3.since, '%Y-%m-%d') AS since, a3.windows FROM ll JOIN a3 ON ll.sku = a3.sku WHERE ll.r = 1 AND a3.r = 1
 ORDER BY ll.level = 'HIGH' DESC, ll.score DESC, has_i8 DESC, ll.sku LIMIT 50"""))
-def priority_table(s, d, only=PLAIN):
+def priority_table(s, d, only):
     return serve.priority_table(_alerts(s, d, only)).withColumn("score", F.round("score", 6))
 
 
@@ -534,36 +555,22 @@ def overview_7v14(s, d):
     return o.select("sku", "reviews", "reviews_before", *[F.round(c, 6).alias(c) for c in ("avg_rating", "low_share", "low_share_change")])
 
 
-@query(hysteresis_sql(PERSIST, "SELECT strftime(window_end, '%Y-%m-%d') AS day, level, count(DISTINCT sku) AS skus FROM al GROUP BY ALL"))
-def level_trend(s, d, only=PLAIN):
+@whole(hysteresis_sql(PERSIST, "SELECT strftime(window_end, '%Y-%m-%d') AS day, level, count(DISTINCT sku) AS skus FROM al GROUP BY ALL"))
+def level_trend(s, d, only):
     return serve.level_trend(_alerts(s, d, only))
 
 
-@query(hysteresis_sql(PERSIST, "SELECT category, level, count(*) AS n_alerts, count(DISTINCT sku) AS skus FROM al GROUP BY ROLLUP (category, level)"))
-def rollup_alerts(s, d, only=PLAIN):
+@whole(hysteresis_sql(PERSIST, "SELECT category, level, count(*) AS n_alerts, count(DISTINCT sku) AS skus FROM al GROUP BY ROLLUP (category, level)"))
+def rollup_alerts(s, d, only):
     return serve.level_rollup(_alerts(s, d, only))
 
 
-@query(f"WITH {MATRIX} SELECT sku, strftime(window_end, '%Y-%m-%d') AS window_end, indicator_id, CAST(triggered AS INTEGER) AS triggered, round(strength, 6) AS strength, round(CASE WHEN triggered THEN CASE indicator_id {_POINTS} ELSE 0 END / 21.0 ELSE 0.0 END, 6) AS contribution FROM mx")
-def indicator_breakdown(s, d, only=PLAIN):
+@whole(f"WITH {MATRIX} SELECT sku, strftime(window_end, '%Y-%m-%d') AS window_end, indicator_id, CAST(triggered AS INTEGER) AS triggered, round(strength, 6) AS strength, round(CASE WHEN triggered THEN CASE indicator_id {_POINTS} ELSE 0 END / 21.0 ELSE 0.0 END, 6) AS contribution FROM mx")
+def indicator_breakdown(s, d, only):
     b = serve.breakdown(_matrix(s, d, only))
     return b.withColumn("strength", F.round("strength", 6)).withColumn("contribution", F.round("contribution", 6))
 
 
-def _whole(f) -> None:
-    """``f`` once more as ``NAME_all``, over all eleven indicators, which SQL can't follow."""
-
-    def run(s, d):
-        return f(s, d, None)
-
-    run.__name__ = f"{f.__name__}_all"
-    query()(run)
-
-
-for _f in (risk_score, persistence, alerts, tau_percentiles, alerts_vs_recalls, eval_summary, policy_baselines, rule_explanation, latest_alert, level_since, new_high_7d, priority_table, level_trend, rollup_alerts, indicator_breakdown):
-    _whole(_f)
-
-
 def flagship(s: SparkSession, d: str) -> DataFrame:
     """The strongest deviations of the shrunk low-star share of a product from its own lagged history."""
     f = features.volume_rating_long(_panel(s, d)).where("feature = 'low_star_ratio_shrunk'")
