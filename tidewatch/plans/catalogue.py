@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.plans import general, reviews
+from tidewatch.plans import general, reports, reviews
 
-_MODULES = (reviews, general)
+_MODULES = (reviews, general, reports)
 
 
 def queries() -> dict:
