@@ -40,6 +40,13 @@ def p3_percentiles(spark: SparkSession, d: str) -> DataFrame:
     return quantiles.percentiles(quantiles.merge(early, late), quantiles.QUARTILES)
 
 
+def p3_sketch(spark: SparkSession, d: str) -> DataFrame:
+    """The sketch itself: counts of buckets per group, for days or files to be added to."""
+    keys = ("sku", "indicator_id", "feature")
+    once = quantiles.distinct_values(table(spark, d, "feature_series"), keys, "raw_value", ("window_end",))
+    return quantiles.sketch(once, keys, "raw_value")
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.alike_pairs(table(spark, d, "clean_reviews"))
 
@@ -83,4 +90,4 @@ def p10_segments(spark: SparkSession, d: str) -> DataFrame:
     return languages.segment(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_masked, p2_found, p2_groups, p3_found, p3_percentiles, p6_found, p6_forms, p6_groups, p8_ids, p8_roundtrip, p9_found, p9_mixture, p9_report, p10_found, p10_segments)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_masked, p2_found, p2_groups, p3_found, p3_percentiles, p3_sketch, p6_found, p6_forms, p6_groups, p8_ids, p8_roundtrip, p9_found, p9_mixture, p9_report, p10_found, p10_segments)}
