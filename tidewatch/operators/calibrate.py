@@ -146,15 +146,21 @@ def chosen(swept: DataFrame, most: float = FALSE_ALARMS) -> DataFrame:
     return swept.groupBy("category", "indicator_id").agg(F.max_by(F.struct(*cols), order).alias("_r"), F.max(ok).alias("within")).select("category", "indicator_id", "_r.*", "within")
 
 
-def report(features: DataFrame, days: int = EVENT_DAYS, overrides: dict[str, tuple[float, float]] | None = None) -> DataFrame:
+def crisis_matrix(features: DataFrame, days: int = EVENT_DAYS) -> DataFrame:
+    """The matrix of the injected crises."""
+    return detect.indicator_matrix(detect.clean_features(inject_crises(features, days)))
+
+
+def report(features: DataFrame, days: int = EVENT_DAYS, overrides: dict[str, tuple[float, float]] | None = None, real: DataFrame | None = None, crises: DataFrame | None = None) -> DataFrame:
     """``(category, case, tau1, tau2, origin, score_before, score_event, alerts, detected)`` for each crisis of each category.
 
     Thresholds come from the products as they are, without windows of change points; crises are injected into median
-    products, detected, scored with these thresholds and counted within the event.
+    products, detected, scored with these thresholds and counted within the event. ``real`` and ``crises`` are the matrices of the
+    features and of the injected crises where they are at hand.
     """
-    real = checkpointed(detect.indicator_matrix(features))
+    real = real if real is not None else checkpointed(detect.indicator_matrix(features))
     tau = checkpointed(thresholds(reference_scores(real), overrides))
-    m = checkpointed(detect.indicator_matrix(detect.clean_features(inject_crises(features, days))))
+    m = crises if crises is not None else checkpointed(crisis_matrix(features, days))
     s = score.scores(m).join(tau.select("category", "tau1", "tau2"), "category", "left")
     s = score.with_persistence(s, F.col("tau1"))
     s = s.withColumn("raw", score.level_of(F.col("score"), F.col("persist"), F.col("groups_active"), F.col("severe"), F.col("tau1"), F.col("tau2")))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions import lexicon
 from tidewatch.operators import calibrate, packs, reports, score
-from tidewatch.plans.reviews import FEATS, C, _alerts, _day, _features, _matrix, _reviews
+from tidewatch.plans.reviews import FEATS, C, _alerts, _crises, _day, _features, _matrix, _reviews
 from tidewatch.session import table
 from tidewatch.sources.stored import stored
 
@@ -108,14 +108,12 @@ def calibration_choice(s, d):
 
 @query()
 def calibration_report(s, d):
-    return calibrate.report(_features(s, d))
+    return calibrate.report(_features(s, d), real=_matrix(s, d), crises=_crises(s, d))
 
 
 @query()
 def calibration_metrics(s, d):
-    from tidewatch.operators import detect, evaluate
-
-    return calibrate.indicator_metrics(detect.indicator_matrix(detect.clean_features(evaluate.inject_crises(_features(s, d)))))
+    return calibrate.indicator_metrics(_crises(s, d))
 
 
 @query()

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.functions import lexicon, text
-from tidewatch.operators import contracts, detect, evaluate, features, preprocess, score, serve
+from tidewatch.operators import calibrate, contracts, detect, evaluate, features, preprocess, score, serve
 from tidewatch.session import table
 from tidewatch.sources import reviews as source
 from tidewatch.sources.stored import stored
@@ -65,6 +65,10 @@ def _alerts(s: SparkSession, d: str, only: tuple[str, ...] | None = None) -> Dat
     return stored(s, f"alerts {only}", [f"{d}/feature_series.parquet"], lambda: score.alerts(_matrix(s, d, only), ALERT_TAU))
 
 
+def _crises(s: SparkSession, d: str) -> DataFrame:
+    return stored(s, "crises", [f"{d}/feature_series.parquet"], lambda: calibrate.crisis_matrix(_features(s, d)))
+
+
 def _labels(s: SparkSession, d: str) -> DataFrame:
     return evaluate.match_labels(table(s, d, "recall_labels"), table(s, d, "clean_reviews"))
 
@@ -478,7 +482,7 @@ def synthetic_template(s, d):
 @query()
 def synthetic_alerts(s, d):
     """Crises injected into median products, and which indicators fire on them."""
-    m = detect.indicator_matrix(detect.clean_features(evaluate.inject_crises(_features(s, d))))
+    m = _crises(s, d)
     return m.groupBy("category", "sku", "indicator_id").agg(F.count("*").alias("windows"), F.count_if("triggered").alias("fired"))
 
 
