@@ -68,6 +68,14 @@ def ngrams(text: Column, min_len: int = 3) -> Column:
     return F.coalesce(F.concat(words, pairs), F.array().cast("array<string>"))
 
 
+_WORD, _STOP = re.compile(r"[a-z0-9]+(?:'[a-z]+)?"), frozenset(STOP_WORDS)
+
+
+def words_of(lower: str | None, min_len: int = 3) -> list[str]:
+    """The words that `ngrams` joins, of one text in lower case."""
+    return [w for w in _WORD.findall(lower) if len(w) >= min_len and w not in _STOP] if lower else []
+
+
 def mask(text: Column) -> Column:
     """E-mail addresses, phone numbers and links replaced by placeholders, trimmed; null gives an empty text."""
     t = F.coalesce(text, F.lit(""))

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewatch.functions import lexicon
-from tidewatch.functions.text import ngrams
+from tidewatch.operators.bursts import term_burst  # noqa: F401
 
 DAYS = 7
 #: Which features belong to which indicator.
@@ -74,37 +74,6 @@ def reliability(panel: DataFrame, reviews: DataFrame) -> DataFrame:
     return base.select("sku", "category", F.col("date").alias("window_end"), F.inline(both))
 
 
-def term_counts(reviews: DataFrame) -> DataFrame:
-    """``(sku, term, date, u, count)``: occurrences of each n-gram by user and day; a null user is one user, the empty one."""
-    t = reviews.select("sku", "date", F.coalesce("user_id", F.lit("")).alias("u"), F.explode(ngrams(F.col("text_norm"))).alias("term"))
-    return t.groupBy("sku", "term", "date", "u").agg(F.count("*").alias("count"))
-
-
-def term_burst(reviews: DataFrame, days: int = DAYS, min_count: int = 5, min_users: int = 3) -> DataFrame:
-    """``(sku, window_end, term_burst_score)`` for every window with a review: the greatest (c - p) / sqrt(p + 1) over the terms with
-    at least ``min_count`` occurrences by ``min_users`` users in the window, p being the window before; 0 without such a term.
-
-    A day's term can only count in a window if it occurs ``min_count`` times within ``days`` days around; the others never
-    reach a window. For the terms and windows that remain, a range frame over the daily counts gives the window before.
-    """
-    c = term_counts(reviews)
-    cells = c.groupBy("sku", "term", "date").agg(F.sum("count").alias("k"))
-    w = W.partitionBy("sku", "term").orderBy(F.unix_date("date")).rangeBetween(-(days - 1), days - 1)
-    near = cells.withColumn("_near", F.sum("k").over(w)).where(F.col("_near") >= min_count).select("sku", "term", "date")
-    ends = F.explode(F.transform(F.sequence(F.lit(0), F.lit(days - 1)), lambda i: F.date_add("date", i))).alias("window_end")
-    now = c.join(near, ["sku", "term", "date"], "left_semi").select("sku", "term", "u", "count", ends)
-    now = now.groupBy("sku", "term", "window_end", "u").agg(F.sum("count").alias("count")).groupBy("sku", "term", "window_end").agg(F.sum("count").alias("cur"), F.count("*").alias("n_users"))
-    now = now.where((F.col("cur") >= min_count) & (F.col("n_users") >= min_users))
-    both = now.select("sku", "term", F.col("window_end").alias("date"), "cur", F.lit(0).cast("bigint").alias("k")).unionByName(cells.select("sku", "term", "date", F.lit(None).cast("bigint").alias("cur"), "k"))
-    span = W.partitionBy("sku", "term").orderBy(F.unix_date("date")).rangeBetween(-(2 * days - 1), -days)
-    p = F.coalesce("past", F.lit(0))
-    g = both.withColumn("past", F.sum("k").over(span)).where("cur is not null").groupBy("sku", F.col("date").alias("window_end")).agg(F.max((F.col("cur") - p) / F.sqrt(p + 1)).alias("top"))
-    lo, hi = reviews.agg(F.min("date")).scalar(), reviews.agg(F.max("date")).scalar()
-    windows = reviews.select("sku", "date").distinct().select("sku", F.explode(F.sequence("date", F.date_add("date", days - 1))).alias("window_end")).distinct()
-    windows = windows.where((F.col("window_end") >= F.date_add(lo, days - 1)) & (F.col("window_end") <= hi))
-    return windows.join(g, ["sku", "window_end"], "left").select("sku", "window_end", F.greatest(F.coalesce("top", F.lit(0.0)), F.lit(0.0)).alias("term_burst_score"))
-
-
 def risk_windows(reviews: DataFrame, days: int = DAYS) -> DataFrame:
     """``(sku, window_end, risk_hits, risk_distinct_users)`` of windows with a hit; needs ``risk_hit``. Null users are no user."""
     d = reviews.where("risk_hit").select("sku", "user_id", F.explode(F.sequence("date", F.date_add("date", days - 1))).alias("window_end"))
